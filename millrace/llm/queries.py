@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import exact_dedup, licenses, mixing, sharding
+from millrace.llm import exact_dedup, licenses, mixing, near_dedup, sharding
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_sharding": sharding.op1_sharding,
         "op2_licenses": licenses.op2_licenses,
         "op6_mixing": mixing.op6_mixing,
+        "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
@@ -19,5 +20,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_sharding": sharding.op1_sql(),
         "op2_licenses": licenses.op2_sql(),
         "op6_mixing": mixing.OP6_SQL,
+        "op9_near_dedup": near_dedup.OP9_SQL,
         "op10_exact_dedup": exact_dedup.OP10_SQL,
     }
