@@ -67,3 +67,24 @@ def split_hot(rows: DataFrame, groups: DataFrame, key: str, total: int, share: i
     hot = F.broadcast(groups.where(F.col("group_size") > limit))
     cold = groups.where(F.col("group_size") <= limit)
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
+#: Bits of the fixed-size filter of ``maybe_in``: at most 2 ** 19 words of 64 bits, whatever the number of ids.
+FILTER_BITS = 25
+
+
+def maybe_in(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``rows`` whose id may be among ``ids`` (one long column): all that are, and by chance some others.
+
+    A bit filter of a fixed size is broadcast, so that rows with wide columns need not be shuffled to find the
+    few that matter. With very many ids it lets more rows pass; an exact join must follow in any case.
+    """
+    spot = lambda c: F.xxhash64(c.cast("long")).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = (
+        ids.select(spot(F.col(ids.columns[0])).alias("__spot"))
+        .groupBy(F.shiftright("__spot", 6).alias("__word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(__spot & 63 as int))")).alias("__bits"))
+    )
+    marked = rows.withColumn("__spot", spot(F.col(id_col))).withColumn("__at", F.shiftright("__spot", 6))
+    met = marked.join(F.broadcast(words), F.col("__at") == F.col("__word"))
+    return met.where("shiftright(__bits, cast(__spot & 63 as int)) & 1 = 1").select(*rows.columns)

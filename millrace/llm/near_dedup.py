@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import tokens
-from millrace.llm.common import Stage, table
+from millrace.llm.common import Stage, maybe_in, table
 from millrace.llm.components import connected_components
 
 WIDTH = 5
@@ -108,7 +108,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
     met = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "left", "right")
-    return met.mapInArrow(lambda it: _common(it, percent), "a long, b long")
+    return met.mapInArrow(lambda it: _common(it, percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,9 +142,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     sizes = able.groupBy(F.col("rep").alias("id")).agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"))
     tested = stage.keep(_near_in_size(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), sizes, percent), "tested")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = stage.keep(texts.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(lambda it: shingle_sets(it, width), "doc_id long, shingles array<long>"), "sets")
-    # rows that repeat an id with equal texts need one set only
-    sets = stage.keep(sets.groupBy("doc_id", F.xxhash64("shingles").alias("h")).agg(F.any_value("shingles").alias("shingles")).select("doc_id", "shingles"), "sets")
+    sets = maybe_in(texts, wanted).mapInArrow(lambda it: shingle_sets(it, width), "doc_id long, shingles array<long>")
+    sets = stage.keep(sets.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), "sets")
     links = stage.keep(verified(tested, sets, percent), "links")
     labels = connected_components(links, stage)
 
