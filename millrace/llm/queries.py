@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import exact_dedup, licenses, mixing, near_dedup, sharding
+from millrace.llm import exact_dedup, licenses, mixing, near_dedup, secrets, sharding
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
         "op2_licenses": licenses.op2_licenses,
+        "op3_secrets": secrets.op3_secrets,
         "op6_mixing": mixing.op6_mixing,
         "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
