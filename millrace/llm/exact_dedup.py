@@ -15,14 +15,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SPACE, Stage, split_hot, table
+from millrace.llm.common import Stage, maybe_in, split_hot, table
 
 #: Parquet settings of a run: a filter on the digest beside the statistics that sorting makes useful.
 RUN_OPTIONS = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "200000"}
 
 
 def normalised(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
+    """Every run of ASCII white space as one space. Plain replacements first: most texts then need no pattern."""
+    out = F.coalesce(text, F.lit(""))
+    for c in "\t\n\x0b\x0c\r":
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return F.when(F.contains(out, F.lit("  ")), F.regexp_replace(out, " {2,}", " ")).otherwise(out)
 
 
 class DigestIndex:
@@ -65,9 +69,10 @@ def unequal_hits(docs: DataFrame, entries: DataFrame, compacted: DataFrame, id_c
     aggregated by (digest, text) before the shuffle, so a text with very many copies travels once per task.
     """
     hits = entries.join(compacted.where("group_size > 1").select("digest"), "digest", "left_semi").select(F.col("doc_id").alias("hit_id")).distinct()
+    texts = maybe_in(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body")), hits)
     bodies = (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("body"))
-        .join(hits.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi")
+        texts.join(hits.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi")
+        .withColumn("body", normalised(F.col("body")))
         .withColumn("digest", F.sha2(F.col("body").cast("binary"), 256))
     )
     texts = bodies.groupBy("digest", "body").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
