@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import exact_dedup, language_id, licenses, mixing, near_dedup, secrets, sharding
+from millrace.llm import exact_dedup, language_id, licenses, mixing, near_dedup, secrets, sharding, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_sharding": sharding.op1_sharding,
         "op2_licenses": licenses.op2_licenses,
         "op3_secrets": secrets.op3_secrets,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op6_mixing": mixing.op6_mixing,
         "op8_language_id": language_id.op8_language_id,
         "op9_near_dedup": near_dedup.op9_near_dedup,
