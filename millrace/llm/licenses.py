@@ -8,6 +8,9 @@ text, in the digests of known licences and licence notices. Those are a fixed li
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,18 +76,36 @@ def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
     return texts.select(digest(unit(canonical_lines(F.col("text")))).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
+def anchors(known=KNOWN) -> list[str]:
+    """Words of which every known text has at least one, as it stands in the lower-case original.
+
+    The longest word of each text that no spelling rule produces; [''] (which every text has) if one has none.
+    """
+    made = {w for _, new in SPELLINGS for w in new.split()}
+    out = set()
+    for _, text in known:
+        body = re.sub(r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*", "", text.lower())
+        words = sorted(set(re.findall(r"[a-z0-9]+", body)) - made, key=lambda w: (-len(w), w))
+        out.add(words[0] if words else "")
+    return [""] if "" in out else sorted(out)
+
+
 def license_hits(docs: DataFrame, known=KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every matching unit: doc_id, kind (whole, block or line), unit (its number, from 0), license_id.
 
     Whole texts are looked up, however long. Null and empty texts have no units. A one-line document that
-    matches is found as whole, block and line. Only the units' digests leave the scan, and only matching ones
-    leave the broadcast join.
+    matches is found as whole, block and line. Texts without any anchor word of a known text can't match in any
+    unit and are passed over after that search; only matching digests leave the broadcast join.
     """
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), canonical_lines(F.col(text_col)).alias("canon"))
-    whole = lines.select("doc_id", F.lit("whole").alias("kind"), F.array("canon").alias("parts"))
-    block = lines.select("doc_id", F.lit("block").alias("kind"), F.split("canon", BLANK_LINE).alias("parts"))
-    line = lines.select("doc_id", F.lit("line").alias("kind"), F.split("canon", "\n").alias("parts"))
-    parts = whole.unionByName(block).unionByName(line).select("doc_id", "kind", F.posexplode("parts").alias("unit", "body"))
+    low = F.lower(F.col(text_col))
+    may = functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in anchors(known)])
+    lines = docs.where(may).select(F.col(id_col).cast("long").alias("doc_id"), canonical_lines(F.col(text_col)).alias("canon"))
+    kinds = F.array(
+        F.struct(F.lit("whole").alias("kind"), F.array("canon").alias("parts")),
+        F.struct(F.lit("block").alias("kind"), F.split("canon", BLANK_LINE).alias("parts")),
+        F.struct(F.lit("line").alias("kind"), F.split("canon", "\n").alias("parts")),
+    )
+    parts = lines.select("doc_id", F.explode(kinds).alias("k")).select("doc_id", "k.kind", F.posexplode("k.parts").alias("unit", "body"))
     digests = parts.withColumn("body", unit(F.col("body"))).where("body <> ''").select("doc_id", "kind", "unit", digest(F.col("body")).alias("digest"))
     return digests.join(F.broadcast(known_digests(docs.sparkSession, known)), "digest").select("doc_id", "kind", "unit", "license_id")
 
