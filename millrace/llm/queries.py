@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import exact_dedup, language_id, licenses, mixing, near_dedup, secrets, sharding, toxicity
+from millrace.llm import decontamination, exact_dedup, language_id, licenses, mixing, near_dedup, secrets, sharding, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_licenses": licenses.op2_licenses,
         "op3_secrets": secrets.op3_secrets,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_decontamination": decontamination.op5_decontamination,
         "op6_mixing": mixing.op6_mixing,
         "op8_language_id": language_id.op8_language_id,
         "op9_near_dedup": near_dedup.op9_near_dedup,
