@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontamination, exact_dedup, language_id, licenses, mixing, near_dedup, secrets, sharding, toxicity
+from millrace.llm import decontamination, exact_dedup, language_id, licenses, mixing, near_dedup, quality, secrets, sharding, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_decontamination": decontamination.op5_decontamination,
         "op6_mixing": mixing.op6_mixing,
+        "op7_quality": quality.op7_quality,
         "op8_language_id": language_id.op8_language_id,
         "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
