@@ -176,17 +176,36 @@ class Landmarks:
 
     def __init__(self, words: list[str]):
         self.words = words
-        codes, owner = encode(words)
-        self.rows = feature_rows(codes[np.unique(owner, return_index=True)[1]])
-        self.dense = [table_of([r], np.ones(1)) for r in self.rows]
-        gram = np.array([[float(d[s] @ v) for s, v in self.rows] for d in self.dense])
-        value, vector = np.linalg.eigh(gram + 1e-3 * np.eye(len(words)))
+        self.rows = feature_rows(self._first(words))
+        # kernel values come from one small matrix: the triples that any landmark has x landmarks; row 0 is for all others
+        used = np.unique(np.concatenate([spots for spots, _ in self.rows]))
+        self.place = np.zeros(_CODES**3, np.int32)
+        self.place[used] = np.arange(1, len(used) + 1)
+        self.matrix = np.zeros((len(used) + 1, len(words)), np.float32)
+        for j, (spots, values) in enumerate(self.rows):
+            self.matrix[self.place[spots], j] = values
+        gram = self.kernel(words)
+        value, vector = np.linalg.eigh((gram + gram.T) / 2 + 1e-3 * np.eye(len(words)))
         self.whiten = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
 
-    def features(self, words: list[str]) -> np.ndarray:
+    @staticmethod
+    def _first(words: list[str]) -> np.ndarray:
+        """The first window of each word."""
         codes, owner = encode(words)
-        codes = codes[np.unique(owner, return_index=True)[1]]
-        return np.stack([apply_table(codes, d) for d in self.dense], 1) @ self.whiten
+        return codes[np.unique(owner, return_index=True)[1]]
+
+    def kernel(self, words: list[str]) -> np.ndarray:
+        """(words x landmarks) kernel values."""
+        out = np.zeros((len(words), len(self.words)))
+        codes = self._first(words)
+        for at in range(0, len(codes), 256):
+            part = codes[at : at + 256]
+            for number, whole, weight in _triples(part):
+                out[at : at + 256] += weight * self.matrix[np.where(whole, self.place[number], 0)].sum(1)
+        return out / norms(codes)[:, None]
+
+    def features(self, words: list[str]) -> np.ndarray:
+        return self.kernel(words) @ self.whiten
 
     def model(self, weights: np.ndarray, bias: float) -> ToxicityModel:
         return ToxicityModel(table_of(self.rows, self.whiten @ weights), bias)
