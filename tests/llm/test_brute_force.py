@@ -232,8 +232,8 @@ def test_mixing_follows_targets(spark, weights):
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
     while True:  # one clamped source at a time, the most crowded first
         level = spare / sum(w[s] for s in left) if left else 0
-        worst = max(left, key=lambda s: w[s] * level - 3 * size[s], default=None)
-        if worst is None or w[worst] * level <= 3 * size[worst] + 1e-9:
+        worst = max(left, key=lambda s: w[s] * level - 3 * size[s])
+        if w[worst] * level <= 3 * size[worst] + 1e-9:
             target.update({s: w[s] * level for s in left})
             break
         target[worst] = 3 * size[worst]
