@@ -6,8 +6,9 @@
 3. A second pass multiplies the TF-IDF passage matrix X of all documents with a random matrix: X'(X R), summed
    by Spark. From that the driver gets the leading right singular vectors and values of X (the one-pass
    randomised decomposition of a positive matrix); its inputs are as large as the vocabulary, not the corpus.
-4. A third pass maps overlapping windows of every document into the latent space (whitened, without the first
-   direction, which only holds the language) and takes each benchmark chunk whose cosine is high enough.
+4. A third pass maps overlapping windows of every document into the latent space (half whitened: divided by
+   the roots of the singular values) and takes each benchmark chunk whose cosine is high enough
+   and of whose words the window has enough.
 5. A candidate is confirmed in place: the longest common subsequence of the item's words and the document's
    words around the match must cover ``LCS`` of the item, or ``LCS_WITH_ANSWER`` of it if the item's answer is
    there too.
@@ -34,9 +35,11 @@ WINDOW = 16
 STRIDE = 8
 #: Steps at which an item is cut into chunks of WINDOW words.
 CHUNK_STEP = 4
-RANK = 48
+RANK = 40
 OVERSAMPLE = 8
-COSINE = 0.55
+COSINE = 0.68
+#: Share of a chunk's words that the window must have, in any order, before words are aligned.
+SHARED = 0.35
 #: Share of a window's words that must be benchmark words. Below it, no confirmed match can hold the window.
 KNOWN = 0.5
 LCS = 0.7
@@ -63,17 +66,28 @@ class Item:
     answer: list[int]
 
 
+_LOW = np.uint64((1 << 20) - 1)
+
+
 @dataclass
 class Benchmark:
     items: list[Item]
     vocabulary: np.ndarray  # sorted word hashes
 
+    def __post_init__(self):
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[(self.vocabulary & _LOW).astype(np.int64)] = True
+
     def terms(self, hashed: np.ndarray) -> np.ndarray:
         """Position of each word in the vocabulary, or -1."""
         if not len(self.vocabulary):
             return np.full(len(hashed), -1)
-        spot = np.minimum(np.searchsorted(self.vocabulary, hashed), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[spot] == hashed, spot, -1)
+        out = np.full(len(hashed), -1)
+        may = np.flatnonzero(self.seen[(hashed & _LOW).astype(np.int64)])
+        spot = np.minimum(np.searchsorted(self.vocabulary, hashed[may]), len(self.vocabulary) - 1)
+        same = self.vocabulary[spot] == hashed[may]
+        out[may[same]] = spot[same]
+        return out
 
 
 def _words_of(text: str) -> list[int]:
@@ -141,6 +155,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], bench: Benchmark, idf: np.ndarray
     """The task's part of X'(X R): a row for each term, a column for each random direction."""
     size, wide = random.shape
     total = np.zeros((size, wide))
+    random = random.astype(np.float32)
     for batch in batches:
         for _, hashed, bounds in word_chunks(batch.column(0)):
             term = bench.terms(hashed)
@@ -151,7 +166,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], bench: Benchmark, idf: np.ndarray
                 where, place = np.nonzero(rows >= 0)
                 if not len(where):
                     continue
-                flat, weight = rows[where, place], value[where, place][:, None]
+                flat, weight = rows[where, place], value[where, place].astype(np.float32)[:, None]
                 begin = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
                 image = np.add.reduceat(random[flat] * weight, begin, axis=0)
                 back = np.cumsum(np.concatenate(([False], where[1:] != where[:-1])))
@@ -181,6 +196,7 @@ class Index:
     chunks: np.ndarray  # chunks x latent directions, rows of length one
     chunk_item: np.ndarray
     chunk_at: np.ndarray
+    chunk_terms: np.ndarray  # chunks x WINDOW
 
     def latent(self, rows: np.ndarray) -> np.ndarray:
         """Latent vectors of windows of terms, of length one (or zero)."""
@@ -192,8 +208,7 @@ class Index:
 
 def build_index(bench: Benchmark, idf: np.ndarray, vectors: np.ndarray, values: np.ndarray) -> Index:
     keep = values > 1e-6 * max(values.max(initial=0), 1e-300)
-    keep[0] = len(keep) == 1
-    mapping = (idf[:, None] * vectors[:, keep] / values[keep]).astype(np.float32)
+    mapping = (idf[:, None] * vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
     mapping = np.vstack((mapping, np.zeros((1, mapping.shape[1]), np.float32)))
     rows, item_of, at_of = [], [], []
     for i, item in enumerate(bench.items):
@@ -204,7 +219,7 @@ def build_index(bench: Benchmark, idf: np.ndarray, vectors: np.ndarray, values:
             rows.append(np.concatenate((piece, np.full(WINDOW - len(piece), -1))))
             item_of.append(i)
             at_of.append(at)
-    index = Index(bench, idf, mapping, np.zeros((0, mapping.shape[1]), np.float32), np.array(item_of), np.array(at_of))
+    index = Index(bench, idf, mapping, np.zeros((0, mapping.shape[1]), np.float32), np.array(item_of), np.array(at_of), np.array(rows))
     index.chunks = index.latent(np.array(rows))
     return index
 
@@ -227,31 +242,46 @@ def _masks(words: list[int]) -> dict[int, int]:
     return out
 
 
-def _search(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
+def find(column: pa.Array, index: Index) -> list[tuple[int, int, float, float, int, int]]:
+    """(row, item_id, lcs, cosine, start word, end word) of every confirmed match in a text column."""
     bench = index.bench
     masks = [_masks(i.words) for i in bench.items]
     answers = [_masks(i.answer) for i in bench.items]
+    found: list[tuple[int, int, float, float, int, int]] = []
+    for first, hashed, bounds in word_chunks(column):
+        term = bench.terms(hashed)
+        start, length, text = passages(term, bounds, STRIDE)
+        known = np.concatenate(([0], np.cumsum(term >= 0)))
+        live = np.flatnonzero(known[start + length] - known[start] >= KNOWN * length)
+        for at in range(0, len(live), 2048):
+            part = live[at : at + 2048]
+            rows = window_terms(term, start[part], length[part])
+            close = index.latent(rows) @ index.chunks.T
+            near_w, near_c = np.divmod(np.flatnonzero(close.ravel() >= COSINE), close.shape[1])
+            wanted = index.chunk_terms[near_c]
+            shared = ((wanted[:, :, None] == rows[near_w][:, None, :]).any(2) & (wanted >= 0)).sum(1)
+            enough = shared >= SHARED * (wanted >= 0).sum(1)
+            done: dict[tuple[int, int], int] = {}
+            for w, c in zip(near_w[enough], near_c[enough], strict=True):
+                i = int(index.chunk_item[c])
+                item = bench.items[i]
+                lo, hi = bounds[text[part[w]]], bounds[text[part[w]] + 1]
+                slack = max(STRIDE, len(item.words) // 4)
+                begin = int(start[part[w]] - index.chunk_at[c])
+                if done.get((i, int(lo))) == begin:  # the same alignment by another window or chunk
+                    continue
+                done[i, int(lo)] = begin
+                a, b = max(int(lo), begin - slack), min(int(hi), begin + len(item.words) + slack)
+                around = hashed[a:b].tolist()
+                ratio = common_subsequence(masks[i], len(item.words), around) / len(item.words)
+                if ratio >= LCS or (ratio >= LCS_WITH_ANSWER and common_subsequence(answers[i], len(item.answer), around) == len(item.answer)):
+                    found.append((first + int(text[part[w]]), item.item_id, ratio, float(close[w, c]), a - int(lo), b - int(lo)))
+    return found
+
+
+def _search(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found: list[tuple[int, int, float, float, int, int]] = []
-        for first, hashed, bounds in word_chunks(batch.column(1)):
-            term = bench.terms(hashed)
-            start, length, text = passages(term, bounds, STRIDE)
-            known = np.concatenate(([0], np.cumsum(term >= 0)))
-            live = np.flatnonzero(known[start + length] - known[start] >= KNOWN * length)
-            for at in range(0, len(live), 2048):
-                part = live[at : at + 2048]
-                close = index.latent(window_terms(term, start[part], length[part])) @ index.chunks.T
-                for w, c in zip(*np.nonzero(close >= COSINE), strict=True):
-                    i = int(index.chunk_item[c])
-                    item = bench.items[i]
-                    lo, hi = bounds[text[part[w]]], bounds[text[part[w]] + 1]
-                    slack = max(STRIDE, len(item.words) // 4)
-                    begin = int(start[part[w]] - index.chunk_at[c])
-                    a, b = max(int(lo), begin - slack), min(int(hi), begin + len(item.words) + slack)
-                    around = hashed[a:b].tolist()
-                    ratio = common_subsequence(masks[i], len(item.words), around) / len(item.words)
-                    if ratio >= LCS or (ratio >= LCS_WITH_ANSWER and common_subsequence(answers[i], len(item.answer), around) == len(item.answer)):
-                        found.append((first + int(text[part[w]]), item.item_id, ratio, float(close[w, c]), a - int(lo), b - int(lo)))
+        found = find(batch.column(1), index)
         rows = [f[0] for f in found]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array([f[k] for f in found], t) for k, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.float64()), (4, pa.int64()), (5, pa.int64())))],
@@ -259,6 +289,13 @@ def _search(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Reco
         )
 
 
+def _clean(batches: Iterator[pa.RecordBatch], index: Index, at: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = np.ones(batch.num_rows, bool)
+        keep[[f[0] for f in find(batch.column(at), index)]] = False
+        yield batch.filter(pa.array(keep))
+
+
 FOUND = "doc_id long, item_id long, lcs double, cosine double, start_word long, end_word long"
 
 
@@ -312,10 +349,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return best.select("doc_id", "item_id", "b.*")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents in which a benchmark item was found."""
-    gone = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows in whose text a benchmark item was found; the rows are filtered where they are searched."""
+    texts, at = docs.select(F.col(text_col).cast("string").alias("text")), docs.columns.index(text_col)
+    for bench in blocks(benchmark):
+        if index := fit(texts, bench):
+            shared = docs.sparkSession.sparkContext.broadcast(index)
+            docs = docs.mapInArrow(lambda it, s=shared: _clean(it, s.value, at), docs.schema)
+    return docs
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
