@@ -38,6 +38,8 @@ CHUNK_STEP = 4
 RANK = 40
 OVERSAMPLE = 8
 COSINE = 0.68
+#: Items of fewer words fill a window badly and are held to less.
+SHORT, COSINE_SHORT = 24, 0.55
 #: Share of a chunk's words that the window must have, in any order, before words are aligned.
 SHARED = 0.35
 #: Share of a window's words that must be benchmark words. Below it, no confirmed match can hold the window.
@@ -197,6 +199,7 @@ class Index:
     chunk_item: np.ndarray
     chunk_at: np.ndarray
     chunk_terms: np.ndarray  # chunks x WINDOW
+    chunk_cosine: np.ndarray  # the cosine that each chunk asks for
 
     def latent(self, rows: np.ndarray) -> np.ndarray:
         """Latent vectors of windows of terms, of length one (or zero)."""
@@ -219,7 +222,7 @@ def build_index(bench: Benchmark, idf: np.ndarray, vectors: np.ndarray, values:
             rows.append(np.concatenate((piece, np.full(WINDOW - len(piece), -1))))
             item_of.append(i)
             at_of.append(at)
-    index = Index(bench, idf, mapping, np.zeros((0, mapping.shape[1]), np.float32), np.array(item_of), np.array(at_of), np.array(rows))
+    index = Index(bench, idf, mapping, np.zeros((0, mapping.shape[1]), np.float32), np.array(item_of), np.array(at_of), np.array(rows), np.array([COSINE_SHORT if len(bench.items[i].words) < SHORT else COSINE for i in item_of], np.float32))
     index.chunks = index.latent(np.array(rows))
     return index
 
@@ -257,7 +260,7 @@ def find(column: pa.Array, index: Index) -> list[tuple[int, int, float, float, i
             part = live[at : at + 2048]
             rows = window_terms(term, start[part], length[part])
             close = index.latent(rows) @ index.chunks.T
-            near_w, near_c = np.divmod(np.flatnonzero(close.ravel() >= COSINE), close.shape[1])
+            near_w, near_c = np.divmod(np.flatnonzero((close >= index.chunk_cosine).ravel()), close.shape[1])
             wanted = index.chunk_terms[near_c]
             shared = ((wanted[:, :, None] == rows[near_w][:, None, :]).any(2) & (wanted >= 0)).sum(1)
             enough = shared >= SHARED * (wanted >= 0).sum(1)
