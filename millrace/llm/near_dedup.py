@@ -10,8 +10,9 @@ Steps:
 2. Documents with equal sets become one class with its smallest id as representative.
 3. Every table bucket compares its members with its smallest member only (a star, not all pairs).
 4. After the components of the verified links, buckets that still hold several components are finished: each
-   member outside the bucket's largest component is compared with all members of other components. No pair
-   that shares a bucket and lies in different components stays untested, so no link is lost to the star.
+   member outside its bucket's largest component is compared with all members of other components that an exact
+   prefix filter leaves (see ``prefix_pairs``). No possible link between two components of a bucket stays
+   untested, so none is lost to the star.
 5. Every comparison is exact, on the two whole sets.
 """
 
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import tokens
@@ -152,9 +153,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     open_members = stage.keep(labelled.join(mixed, "key"), "open")
     largest = open_members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
-    minor = open_members.join(largest, "key").where("comp <> main").select("key", F.col("rep").alias("x"), F.col("comp").alias("cx"))
-    cross = minor.join(open_members, "key").where("cx <> comp").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-    cross = _near_in_size(cross, sizes, percent).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    minor = open_members.join(largest, "key").where("comp <> main").select("rep").distinct().withColumn("minor", F.lit(True))
+    in_open = open_members.select("rep", "comp").distinct().join(minor, "rep", "left")
+    cross = prefix_pairs(in_open, sets, percent, stage).join(tested.select("a", "b"), ["a", "b"], "left_anti")
     more = stage.keep(verified(cross, sets, percent), "links")
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more), stage)
@@ -166,6 +167,43 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     return with_set.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+#: Sizes that differ by less than this factor share a class.
+SIZE_STEP = 1.02
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(F.greatest(n, F.lit(1))) / math.log(SIZE_STEP)).cast("int")
+
+
+def prefix_pairs(docs: DataFrame, sets: DataFrame, percent: int, stage: Stage) -> DataFrame:
+    """Pairs (a, b) of ``docs`` (rep, comp, minor) that can reach the threshold: one of them minor, in different components.
+
+    An exact prefix filter, with no chance to miss. Shingles of each set are put in the order of how many of the
+    documents have them, rare ones first. Two sets that reach the threshold have their first common shingle early
+    in both, as early as their two sizes demand; so each set only offers its first shingles, fewer for partners of
+    about its own size, and offers meet by (shingle, size class, size class). Distant copies of one text have their
+    own rare shingles first and hardly meet, whatever the size of their group.
+    """
+    own = sets.join(docs.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "comp", F.coalesce("minor", F.lit(False)).alias("minor"), F.size("shingles").alias("n"), F.xxhash64("shingles").alias("set"), F.explode("shingles").alias("s"))
+    own = stage.keep(own, "shingles")
+    held = own.groupBy("s").agg(F.count(F.lit(1)).alias("held"))
+    order = Window.partitionBy("doc_id", "set").orderBy("held", "s")
+    ranked = own.join(held, "s").withColumn("i", F.row_number().over(order) - 1)
+    # a shingle that one document has takes its place in the order but can't meet another; the smallest partner has
+    # percent / 100 of the size
+    early = ranked.where("held > 1").where((100 + percent) * 100 * (F.col("n") - F.col("i")) >= percent * (100 + percent) * F.col("n"))
+    spread = F.filter(
+        F.sequence(_size_class(F.col("n") * percent / 100) - 1, _size_class(F.col("n") * 100 / percent) + 1),
+        lambda c: (100 + percent) * (F.col("n") - F.col("i")) >= percent * (F.col("n") + F.floor(F.pow(F.lit(SIZE_STEP), c)) - 1),
+    )
+    offers = stage.keep(early.select("doc_id", "comp", "minor", "n", "s", "i", _size_class(F.col("n")).alias("own"), F.explode(spread).alias("other")), "offers")
+    one = offers.where("minor").select("s", "own", "other", F.col("doc_id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("i").alias("ix"))
+    two = offers.select("s", F.col("other").alias("own"), F.col("own").alias("other"), F.col("doc_id").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("i").alias("iy"))
+    enough = (100 + percent) * F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) >= percent * (F.col("nx") + F.col("ny"))
+    met = one.join(two, ["s", "own", "other"]).where((F.col("cx") != F.col("cy")) & enough)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _near_in_size(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes alone don't rule the threshold out."""
     a = sizes.select(F.col("id").alias("a"), F.col("n_min").alias("a_min"), F.col("n_max").alias("a_max"))
