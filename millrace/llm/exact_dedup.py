@@ -70,8 +70,8 @@ def unequal_hits(docs: DataFrame, entries: DataFrame, compacted: DataFrame, id_c
     """
     hits = entries.join(compacted.where("group_size > 1").select("digest"), "digest", "left_semi").select(F.col("doc_id").alias("hit_id")).distinct()
     texts = maybe_in(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body")), hits)
-    bodies = (
-        texts.join(hits.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi")
+    bodies = (  # an inner join (ids in hits are distinct): a semi-join would be pushed below the filter
+        texts.join(hits.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("hit_id")))
         .withColumn("body", normalised(F.col("body")))
         .withColumn("digest", F.sha2(F.col("body").cast("binary"), 256))
     )
