@@ -6,12 +6,14 @@
 3. A second pass multiplies the TF-IDF passage matrix X of all documents with a random matrix: X'(X R), summed
    by Spark. From that the driver gets the leading right singular vectors and values of X (the one-pass
    randomised decomposition of a positive matrix); its inputs are as large as the vocabulary, not the corpus.
-4. A third pass maps overlapping windows of every document into the latent space (half whitened: divided by
-   the roots of the singular values) and takes each benchmark chunk whose cosine is high enough
-   and of whose words the window has enough.
+4. A third pass takes as candidates all stretches of a document that hold enough of an item's rarer words. What
+   is enough follows from step 5 (n - t + k of an item's n words hold at least k of any t), so that no match that
+   step 5 would confirm is lost; a cosine has no such bound and drops nothing.
 5. A candidate is confirmed in place: the longest common subsequence of the item's words and the document's
    words around the match must cover ``LCS`` of the item, or ``LCS_WITH_ANSWER`` of it if the item's answer is
-   there too.
+   there too. Every stretch as long as the item and its slack on both sides is tried.
+6. Each match gets the cosine of its passages and the item's chunks in the latent space (half whitened: divided
+   by the roots of the singular values).
 
 The benchmark is worked off in blocks of at most ``BLOCK`` items, so what is sent to the tasks is bounded.
 """
@@ -19,6 +21,7 @@ The benchmark is worked off in blocks of at most ``BLOCK`` items, so what is sen
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,13 +40,10 @@ STRIDE = 8
 CHUNK_STEP = 4
 RANK = 40
 OVERSAMPLE = 8
-COSINE = 0.68
-#: Items of fewer words fill a window badly and are held to less.
-SHORT, COSINE_SHORT = 24, 0.55
-#: Share of a chunk's words that the window must have, in any order, before words are aligned.
-SHARED = 0.35
-#: Share of a window's words that must be benchmark words. Below it, no confirmed match can hold the window.
-KNOWN = 0.5
+#: Share of an item's words that are asked for at once before words are aligned. Any share finds all; it sets the cost.
+ASKED = 0.15
+#: Items whose rarer words are looked up together.
+GROUP = 256
 LCS = 0.7
 LCS_WITH_ANSWER = 0.5
 #: Benchmark items in one block.
@@ -190,16 +190,37 @@ def decompose(product: np.ndarray, random: np.ndarray, rank: int) -> tuple[np.nd
     return left[:, :rank], size[:rank]
 
 
+@dataclass
+class Unit:
+    """Words to be found: an item."""
+
+    item: int  # its place in the block
+    words: list[int]
+    answer: list[int]
+    reach: int  # words of a document over which a match may spread
+    need: int  # least words in common
+
+
+@dataclass
+class Group:
+    """Units and their rarer words: ``units[begin[t] : begin[t + 1]]`` have term t among them."""
+
+    first: int  # the first unit
+    begin: np.ndarray
+    units: np.ndarray
+    asked: np.ndarray  # of a unit's rarer words, how many every match has
+    reach: np.ndarray
+
+
 @dataclass
 class Index:
     bench: Benchmark
     idf: np.ndarray
     mapping: np.ndarray  # vocabulary x latent directions
     chunks: np.ndarray  # chunks x latent directions, rows of length one
-    chunk_item: np.ndarray
-    chunk_at: np.ndarray
-    chunk_terms: np.ndarray  # chunks x WINDOW
-    chunk_cosine: np.ndarray  # the cosine that each chunk asks for
+    chunk_item: np.ndarray  # ascending
+    units: list[Unit]
+    groups: list[Group]
 
     def latent(self, rows: np.ndarray) -> np.ndarray:
         """Latent vectors of windows of terms, of length one (or zero)."""
@@ -208,12 +229,48 @@ class Index:
             out += self.mapping[rows[:, k]]  # the last row of the mapping is zero and stands for -1
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
+    def cosine(self, item: int, term: np.ndarray) -> float:
+        """The best cosine of a passage of ``term`` and a chunk of the item."""
+        start, length, _ = passages(term, np.array([0, len(term)]), STRIDE)
+        lo, hi = np.searchsorted(self.chunk_item, [item, item + 1])
+        return float((self.latent(window_terms(term, start, length)) @ self.chunks[lo:hi].T).max())
+
+
+def slack(size: int) -> int:
+    """Words by which a match of ``size`` words may spread on either side."""
+    return max(STRIDE, size // 4)
+
+
+def units_of(bench: Benchmark) -> list[Unit]:
+    out = []
+    for i, item in enumerate(bench.items):
+        n = len(item.words)
+        out.append(Unit(i, item.words, item.answer, n + 2 * slack(n), math.ceil(LCS_WITH_ANSWER * n - 1e-9)))
+    return out
+
+
+def group_units(bench: Benchmark, units: list[Unit], idf: np.ndarray) -> list[Group]:
+    groups = []
+    for first in range(0, len(units), GROUP):
+        pairs, asked = [], []
+        for u, unit in enumerate(units[first : first + GROUP]):
+            n, term = len(unit.words), bench.terms(np.array(unit.words, np.uint64))
+            terms, times = np.unique(term, return_counts=True)
+            order = np.argsort(-idf[terms], kind="stable")
+            held = np.cumsum(times[order])
+            size = int(np.searchsorted(held, n - unit.need + min(max(1, math.ceil(ASKED * n)), unit.need))) + 1
+            asked.append(int(held[size - 1]) - (n - unit.need))
+            pairs += [(int(t), u) for t in terms[order[:size]]]
+        pairs = np.array(sorted(pairs))
+        groups.append(Group(first, np.searchsorted(pairs[:, 0], np.arange(len(idf) + 1)), pairs[:, 1].astype(np.uint16), np.array(asked), np.array([u.reach for u in units[first : first + GROUP]])))
+    return groups
+
 
 def build_index(bench: Benchmark, idf: np.ndarray, vectors: np.ndarray, values: np.ndarray) -> Index:
     keep = values > 1e-6 * max(values.max(initial=0), 1e-300)
     mapping = (idf[:, None] * vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
     mapping = np.vstack((mapping, np.zeros((1, mapping.shape[1]), np.float32)))
-    rows, item_of, at_of = [], [], []
+    rows, item_of = [], []
     for i, item in enumerate(bench.items):
         term = bench.terms(np.array(item.words, np.uint64))
         last = max(len(term) - WINDOW, 0)
@@ -221,8 +278,8 @@ def build_index(bench: Benchmark, idf: np.ndarray, vectors: np.ndarray, values:
             piece = term[at : at + WINDOW]
             rows.append(np.concatenate((piece, np.full(WINDOW - len(piece), -1))))
             item_of.append(i)
-            at_of.append(at)
-    index = Index(bench, idf, mapping, np.zeros((0, mapping.shape[1]), np.float32), np.array(item_of), np.array(at_of), np.array(rows), np.array([COSINE_SHORT if len(bench.items[i].words) < SHORT else COSINE for i in item_of], np.float32))
+    units = units_of(bench)
+    index = Index(bench, idf, mapping, np.zeros((0, mapping.shape[1]), np.float32), np.array(item_of), units, group_units(bench, units, idf))
     index.chunks = index.latent(np.array(rows))
     return index
 
@@ -245,40 +302,89 @@ def _masks(words: list[int]) -> dict[int, int]:
     return out
 
 
+def stretches(term: np.ndarray, bounds: np.ndarray, group: Group) -> Iterator[tuple[int, int, int, int]]:
+    """(unit, text, start, end) of all stretches that may hold a match: every run of a unit's ``reach`` words with as many of its rarer words as asked lies in one."""
+    at = np.flatnonzero(term >= 0)
+    begin, count = group.begin[term[at]], group.begin[term[at] + 1] - group.begin[term[at]]
+    place = np.repeat(at, count)
+    unit = group.units[np.arange(len(place)) + np.repeat(begin - np.cumsum(count) + count, count)]
+    order = np.argsort(unit, kind="stable")
+    place, unit = place[order], unit[order]
+    # the asked-th word from each on: of the same unit, in reach, in the same text
+    one = np.flatnonzero(np.arange(len(unit)) + group.asked[unit] - 1 < len(unit))
+    other = one + group.asked[unit[one]] - 1
+    fits = (unit[one] == unit[other]) & (place[other] - place[one] < group.reach[unit[one]])
+    one, other = one[fits], other[fits]
+    text = np.searchsorted(bounds, place[one], "right") - 1
+    fits = place[other] < bounds[text + 1]
+    one, other, text = one[fits], other[fits], text[fits]
+    if not len(one):
+        return
+    unit, reach = unit[one].astype(np.int64), group.reach[unit[one]]
+    start = np.maximum(bounds[text], place[other] - reach + 1)
+    end = np.minimum(bounds[text + 1], place[one] + reach)
+    # overlapping ones are joined, but not without end
+    part = place[one] // (4 * reach)
+    new = np.flatnonzero(np.concatenate(([True], (unit[1:] != unit[:-1]) | (text[1:] != text[:-1]) | (part[1:] != part[:-1]) | (start[1:] > end[:-1]))))
+    last = np.concatenate((new[1:], [len(one)])) - 1
+    yield from zip((unit[new] + group.first).tolist(), text[new].tolist(), start[new].tolist(), end[last].tolist(), strict=True)
+
+
+def confirm(unit: Unit, masks: dict[int, int], answer: dict[int, int], words: list[int]) -> tuple[float, int, int] | None:
+    """(ratio, start, end) of the best match of the unit in a stretch of words, or None."""
+    n = len(unit.words)
+
+    def holds(common: int, some: list[int]) -> bool:
+        return common >= LCS * n or (bool(answer) and common >= LCS_WITH_ANSWER * n and common_subsequence(answer, len(unit.answer), some) == len(unit.answer))
+
+    most = common_subsequence(masks, n, words)
+    if not holds(most, words):
+        return None
+    # long items are tried at every n/32-th word, over as many words more
+    step = max(1, n // 32)
+    size = unit.reach + step - 1
+    best = None
+    for a in range(0, max(len(words) - size, 0) + step, step):
+        some = words[a : a + size]
+        common = common_subsequence(masks, n, some)
+        if (best is None or common > best[0]) and holds(common, some):
+            best = common, a, min(a + size, len(words))
+            if common == most:
+                break
+    if best is None:
+        return None
+    common, a, b = best
+    lo, hi = a, b - 1  # the last start that keeps all
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        some = words[mid:b]
+        if common_subsequence(masks, n, some) == common and holds(common, some):
+            lo = mid
+        else:
+            hi = mid - 1
+    return common / n, lo, b
+
+
 def find(column: pa.Array, index: Index) -> list[tuple[int, int, float, float, int, int]]:
     """(row, item_id, lcs, cosine, start word, end word) of every confirmed match in a text column."""
     bench = index.bench
-    masks = [_masks(i.words) for i in bench.items]
-    answers = [_masks(i.answer) for i in bench.items]
+    masks = [_masks(u.words) for u in index.units]
+    answers = [_masks(u.answer) for u in index.units]
     found: list[tuple[int, int, float, float, int, int]] = []
     for first, hashed, bounds in word_chunks(column):
         term = bench.terms(hashed)
-        start, length, text = passages(term, bounds, STRIDE)
-        known = np.concatenate(([0], np.cumsum(term >= 0)))
-        live = np.flatnonzero(known[start + length] - known[start] >= KNOWN * length)
-        for at in range(0, len(live), 2048):
-            part = live[at : at + 2048]
-            rows = window_terms(term, start[part], length[part])
-            close = index.latent(rows) @ index.chunks.T
-            near_w, near_c = np.divmod(np.flatnonzero((close >= index.chunk_cosine).ravel()), close.shape[1])
-            wanted = index.chunk_terms[near_c]
-            shared = ((wanted[:, :, None] == rows[near_w][:, None, :]).any(2) & (wanted >= 0)).sum(1)
-            enough = shared >= SHARED * (wanted >= 0).sum(1)
-            done: dict[tuple[int, int], int] = {}
-            for w, c in zip(near_w[enough], near_c[enough], strict=True):
-                i = int(index.chunk_item[c])
-                item = bench.items[i]
-                lo, hi = bounds[text[part[w]]], bounds[text[part[w]] + 1]
-                slack = max(STRIDE, len(item.words) // 4)
-                begin = int(start[part[w]] - index.chunk_at[c])
-                if done.get((i, int(lo))) == begin:  # the same alignment by another window or chunk
+        whole: set[tuple[int, int]] = set()
+        for group in index.groups:
+            for u, text, start, end in stretches(term, bounds, group):
+                unit = index.units[u]
+                if (unit.item, text) in whole:  # found with all its words
                     continue
-                done[i, int(lo)] = begin
-                a, b = max(int(lo), begin - slack), min(int(hi), begin + len(item.words) + slack)
-                around = hashed[a:b].tolist()
-                ratio = common_subsequence(masks[i], len(item.words), around) / len(item.words)
-                if ratio >= LCS or (ratio >= LCS_WITH_ANSWER and common_subsequence(answers[i], len(item.answer), around) == len(item.answer)):
-                    found.append((first + int(text[part[w]]), item.item_id, ratio, float(close[w, c]), a - int(lo), b - int(lo)))
+                if match := confirm(unit, masks[u], answers[u], hashed[start:end].tolist()):
+                    ratio, a, b = match
+                    if ratio == 1:
+                        whole.add((unit.item, text))
+                    lo = int(bounds[text])
+                    found.append((first + text, bench.items[unit.item].item_id, ratio, index.cosine(unit.item, term[start + a : start + b]), start + a - lo, start + b - lo))
     return found
 
 

@@ -322,6 +322,30 @@ def test_decontamination_of_paraphrases(spark):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(i, i) for i in items}
 
 
+def brute_matches(text, item, answer, reach):
+    """Every stretch of ``reach`` words: is 0.7 of the item's words there in order, or half of them and the answer?"""
+    common = lambda w, s: decontamination.common_subsequence(decontamination._masks(w), len(w), s)
+    parts = [text[at : at + reach] for at in range(max(len(text) - reach, 0) + 1)]
+    return any(common(item, s) >= 0.7 * len(item) or (common(item, s) >= 0.5 * len(item) and common(answer, s) == len(answer)) for s in parts)
+
+
+def test_decontamination_of_paraphrases_in_vocabulary(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = {i: words(n) for i, n in enumerate((20, 23, 24, 30, 40, 38) * 8)}
+    docs = {}
+    for i, w in items.items():
+        for share in (0.5, 0.45, 0.4, 0.3):
+            changed = list(w)
+            for k in rng.sample(range(len(w) - 5), int(share * len(w))):
+                changed[k] = rng.choice(vocabulary)
+            docs[len(docs)] = words(rng.randint(0, 40)) + changed + words(rng.randint(0, 40))
+    found = decontamination.contaminated(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w[:-5]) + ". " + " ".join(w[-5:])) for i, w in items.items()], "item_id long, text string"))
+    want = {(d, i) for d, text in docs.items() for i, w in items.items() if brute_matches(text, w, w[-5:], len(w) + 2 * max(8, len(w) // 4))}
+    assert len(want) > 150 and {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
 def test_ordinal_regression():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 12)).astype(np.float32)
