@@ -237,8 +237,8 @@ class Index:
 
 
 def slack(size: int) -> int:
-    """Words by which a match of ``size`` words may spread on either side."""
-    return max(STRIDE, size // 4)
+    """Words by which a match of ``size`` words may spread on either side; items under five words have to be nearly in one piece."""
+    return max(STRIDE, size // 4) if size >= 5 else size // 2
 
 
 def units_of(bench: Benchmark) -> list[Unit]:

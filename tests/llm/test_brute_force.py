@@ -346,6 +346,21 @@ def test_decontamination_of_paraphrases_in_vocabulary(spark):
     assert len(want) > 150 and {(r.doc_id, r.item_id) for r in found.collect()} == want
 
 
+def test_decontamination_of_short_items_among_foreign_words(spark):
+    rng = random.Random(12)
+    foreign = lambda n: ["".join(rng.choice("klmnopqrst") for _ in range(6)) for _ in range(n)]
+    items = {n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)] for n in range(1, 11)}
+    docs = {}
+    for n, w in items.items():
+        docs[n] = foreign(300) + w + foreign(300)
+        if n >= 8:  # one to three words replaced by unknown ones
+            docs[100 + n] = foreign(300) + [foreign(1)[0] if k in (1, 3, 5)[: n - 7] else x for k, x in enumerate(w)] + foreign(300)
+        if n >= 4:  # its words in order, but far apart
+            docs[200 + n] = [x for v in w for x in [v, *foreign(12)]]
+    found = decontamination.contaminated(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(n, n) for n in items} | {(100 + n, n) for n in (8, 9, 10)}
+
+
 def test_ordinal_regression():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 12)).astype(np.float32)
