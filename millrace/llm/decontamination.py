@@ -11,7 +11,8 @@
    step 5 would confirm is lost; a cosine has no such bound and drops nothing.
 5. A candidate is confirmed in place: the longest common subsequence of the item's words and the document's
    words around the match must cover ``LCS`` of the item, or ``LCS_WITH_ANSWER`` of it if the item's answer is
-   there too. Every stretch as long as the item and its slack on both sides is tried.
+   there too. Every stretch as long as the item and its slack on both sides is tried. Of items of more than
+   ``PASSAGE`` words, ``LCS`` of any passage of so many words (one every ``PASSAGE_STEP`` words) is enough.
 6. Each match gets the cosine of its passages and the item's chunks in the latent space (half whitened: divided
    by the roots of the singular values).
 
@@ -46,6 +47,8 @@ ASKED = 0.15
 GROUP = 256
 LCS = 0.7
 LCS_WITH_ANSWER = 0.5
+#: Words of the passages of long items, and steps at which they begin.
+PASSAGE, PASSAGE_STEP = 40, 8
 #: Benchmark items in one block.
 BLOCK = 2000
 
@@ -192,11 +195,11 @@ def decompose(product: np.ndarray, random: np.ndarray, rank: int) -> tuple[np.nd
 
 @dataclass
 class Unit:
-    """Words to be found: an item."""
+    """Words to be found: an item, or a passage of it (without an answer)."""
 
     item: int  # its place in the block
     words: list[int]
-    answer: list[int]
+    answer: list[int] | None
     reach: int  # words of a document over which a match may spread
     need: int  # least words in common
 
@@ -246,6 +249,10 @@ def units_of(bench: Benchmark) -> list[Unit]:
     for i, item in enumerate(bench.items):
         n = len(item.words)
         out.append(Unit(i, item.words, item.answer, n + 2 * slack(n), math.ceil(LCS_WITH_ANSWER * n - 1e-9)))
+    for i, item in enumerate(bench.items):
+        if (last := len(item.words) - PASSAGE) > 0:
+            for at in sorted({*range(0, last + 1, PASSAGE_STEP), last}):
+                out.append(Unit(i, item.words[at : at + PASSAGE], None, PASSAGE + 2 * slack(PASSAGE), math.ceil(LCS * PASSAGE - 1e-9)))
     return out
 
 
@@ -335,7 +342,7 @@ def confirm(unit: Unit, masks: dict[int, int], answer: dict[int, int], words: li
     n = len(unit.words)
 
     def holds(common: int, some: list[int]) -> bool:
-        return common >= LCS * n or (bool(answer) and common >= LCS_WITH_ANSWER * n and common_subsequence(answer, len(unit.answer), some) == len(unit.answer))
+        return common >= LCS * n or (unit.answer is not None and common >= LCS_WITH_ANSWER * n and common_subsequence(answer, len(unit.answer), some) == len(unit.answer))
 
     most = common_subsequence(masks, n, words)
     if not holds(most, words):
@@ -369,7 +376,7 @@ def find(column: pa.Array, index: Index) -> list[tuple[int, int, float, float, i
     """(row, item_id, lcs, cosine, start word, end word) of every confirmed match in a text column."""
     bench = index.bench
     masks = [_masks(u.words) for u in index.units]
-    answers = [_masks(u.answer) for u in index.units]
+    answers = [_masks(u.answer or []) for u in index.units]
     found: list[tuple[int, int, float, float, int, int]] = []
     for first, hashed, bounds in word_chunks(column):
         term = bench.terms(hashed)
@@ -444,7 +451,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     All documents and their whole texts are searched. Null and empty texts hold nothing; null and empty items and
     items without a word are never found. Rows that repeat a document id are one document, repeated items one
     item. Documents or items with a null id are reported with a null id. Other columns are not read. An empty table on
-    either side gives an empty result. The place is in words, counted from the text's start.
+    either side gives an empty result. The place is in words, counted from the text's start. ``lcs`` is the
+    share of the item, or of a passage of a long item, whichever is found better.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -361,6 +361,20 @@ def test_decontamination_of_short_items_among_foreign_words(spark):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(n, n) for n in items} | {(100 + n, n) for n in (8, 9, 10)}
 
 
+def test_decontamination_of_passages_of_long_items(spark):
+    rng = random.Random(13)
+    words = lambda n, letters="abcdefghij": ["".join(rng.choice(letters) for _ in range(5)) for _ in range(n)]
+    items = {i: words(n) for i, n in enumerate((60, 200, 1000))}
+    docs = {}
+    for i, w in items.items():
+        docs[i] = words(50, "klmnopqrst") + w[7:47] + words(50, "klmnopqrst")  # 40 words as they are
+        changed = [words(1, "klmnopqrst")[0] if k % 5 == 0 else v for k, v in enumerate(w[-50:])]
+        docs[10 + i] = words(50, "klmnopqrst") + changed + words(50, "klmnopqrst")
+        docs[20 + i] = words(50, "klmnopqrst") + w[7:27] + words(50, "klmnopqrst")  # too short a passage
+    found = decontamination.contaminated(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(i, i) for i in items} | {(10 + i, i) for i in items}
+
+
 def test_ordinal_regression():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 12)).astype(np.float32)
