@@ -33,6 +33,12 @@ MIN_SECRET = 6
 #: Candidates of the structural kinds. Base64 may be broken over lines, as in PEM files.
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{16,}")
 BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{16,}(?:\r?\n)?)*[A-Za-z0-9+/]{16,}={0,2}")
+#: Key files by their border lines, as they are, indented, or in a string with escaped line ends.
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]+-----([^-]*)-----END [A-Z0-9 ]+-----")
+GAP = re.compile(r"(?:\s|\\+[nrt])+")
+LINES = re.compile(r"[A-Za-z0-9+/]+|(?:\s|\\+[nrt])+")
+#: Where a bare DER sequence in base64 may start; how far it goes is told by its length.
+DER_START = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[nrt]))M[ICDEFGH][A-Za-z0-9+/]{14,}")
 HEX_ANY = re.compile(r"[0-9A-Fa-f]{32,}")
 #: No key encoding is shorter than this many bytes.
 MIN_BYTES = 32
@@ -130,20 +136,70 @@ def _key_kind(data: bytes) -> str | None:
     return "der" if is_der_key(data) else "sshkey" if len(data) >= MIN_BYTES and is_ssh_key(data) else None
 
 
+def _decoded(text: str) -> bytes | None:
+    try:
+        return base64.b64decode(text, validate=True)
+    except (binascii.Error, ValueError):
+        return None
+
+
+def pem_spans(text: str) -> list[tuple[str, int, int]]:
+    """Spans of the bodies of PEM keys, without the gaps around them."""
+    found = []
+    for m in PEM.finditer(text):
+        body = m[1].replace("\\/", "/")
+        data = _decoded(GAP.sub("", body))
+        if data and (kind := _key_kind(data)):
+            lead, tail = GAP.match(m[1]), re.search(rf"{GAP.pattern}\Z", m[1])
+            found.append((kind, m.start(1) + (lead.end() if lead else 0), m.start(1) + (tail.start() if tail else len(m[1]))))
+    return found
+
+
+def wrapped_der(text: str, at: int) -> int | None:
+    """End of the base64 of a DER key that starts at ``at``, over as many lines as its length asks for; None if there is none."""
+    head = base64.b64decode(text[at : at + 8])
+    width = head[1] & 0x7F if head[1] & 0x80 else 0
+    if width > 4:
+        return None
+    size = 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])
+    want, pad = -(-size * 4 // 3), -size % 3
+    if want > len(text) - at:
+        return None
+    parts = []
+    while want and (m := LINES.match(text, at)):
+        at = m.end()
+        if not GAP.match(m[0]):
+            parts.append(m[0])
+            want -= len(m[0])
+        if want < 0:
+            return None
+    if want:
+        return None
+    for _ in range(pad):
+        gap = GAP.match(text, at)
+        if text.startswith("=", to := gap.end() if gap else at):
+            at = to + 1
+    data = _decoded("".join(parts) + "=" * pad)
+    return at if data and is_der_key(data) else None
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the structural kinds."""
     found = []
     if "eyJ" in text:
         found += [("jwt", m.start(), m.end()) for m in JWT.finditer(text) if is_signed_token(m[0])]
+    keys = pem_spans(text) if "-----BEGIN " in text else []
+    inside = lambda a, b: any(x < b and a < y for _, x, y in keys)
+    for m in DER_START.finditer(text):
+        if not inside(m.start(), m.end()) and (end := wrapped_der(text, m.start())):
+            keys.append(("der", m.start(), end))
     if any(s in text for s in BASE64_STARTS):
         for m in BASE64.finditer(text):
-            if m[0].startswith(BASE64_STARTS):
-                try:
-                    data = base64.b64decode(re.sub(r"\s", "", m[0]), validate=True)
-                except (binascii.Error, ValueError):
-                    continue
-                if kind := _key_kind(data):
-                    found.append((kind, m.start(), m.end()))
+            if m[0].startswith(BASE64_STARTS) and not inside(m.start(), m.end()):
+                data = _decoded(re.sub(r"\s", "", m[0]))
+                if data and (kind := _key_kind(data)):
+                    keys.append((kind, m.start(), m.end()))
+    found += keys
     for m in HEX_ANY.finditer(text):
         if m[0][:2] in ("30", "00", "6f", "6F") and len(m[0]) % 2 == 0 and (kind := _key_kind(bytes.fromhex(m[0]))):
             found.append((kind, m.start(), m.end()))

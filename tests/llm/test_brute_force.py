@@ -202,6 +202,34 @@ def test_secret_structures():
     assert secrets.confirmed_spans(base64.b64encode(b"just some long plain text, not a key at all").decode()) == []
 
 
+def _der(tag, body):
+    n = len(body)
+    return bytes([tag]) + (bytes([n]) if n < 128 else b"\x81" + bytes([n]) if n < 256 else b"\x82" + n.to_bytes(2, "big")) + body
+
+
+def test_secret_keys_over_lines():
+    rng = random.Random(4)
+    number = lambda n: _der(2, b"\x5a" + rng.randbytes(n - 1))
+    names = _der(0x30, bytes.fromhex("06092a864886f70d0101010500"))
+    public = _der(0x30, names + _der(3, b"\0" + _der(0x30, number(257) + number(3))))
+    assert len(public) == 294
+    pkcs1 = _der(0x30, number(1) + number(257) + number(3) + number(256) + 5 * number(128))
+    pkcs8 = _der(0x30, number(1) + names + _der(4, pkcs1))
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + rng.randbytes(230)
+    for label, data in (("PUBLIC", public), ("RSA PRIVATE", pkcs1), ("PRIVATE", pkcs8), ("OPENSSH PRIVATE", ssh)):
+        kind = "sshkey" if data is ssh else "der"
+        for end in ("\n", "\r\n", "\n    ", "\n\t", " ", "\\n", "\\r\\n", "\\\\n"):
+            code = base64.b64encode(data).decode()
+            lines = end.join(code[i : i + 64] for i in range(0, len(code), 64))
+            head = f"key: |{end}-----BEGIN {label} KEY-----{end}"
+            text = f"{head}{lines}{end}-----END {label} KEY-----{end}and text follows"
+            assert secrets.confirmed_spans(text) == [(kind, len(head), len(head) + len(lines))], (label, end)
+            if kind == "der":
+                assert secrets.confirmed_spans(f"it is{end}{lines}{end}and text follows") == [("der", 5 + len(end), 5 + len(end) + len(lines))], (label, end)
+            assert not secrets.confirmed_spans(text.replace("M", "N").replace("b3Bl", "b3Bm"))
+
+
 def test_mixing_targets():
     def plain(sizes, weights, epochs):
         target, open_ = dict.fromkeys(sizes, 0.0), set(sizes)
