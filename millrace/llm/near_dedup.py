@@ -184,8 +184,9 @@ def prefix_pairs(docs: DataFrame, sets: DataFrame, percent: int, stage: Stage) -
     about its own size, and offers meet by (shingle, size class, size class). Distant copies of one text have their
     own rare shingles first and hardly meet, whatever the size of their group.
     """
-    own = sets.join(docs.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "comp", F.coalesce("minor", F.lit(False)).alias("minor"), F.size("shingles").alias("n"), F.xxhash64("shingles").alias("set"), F.explode("shingles").alias("s"))
-    own = stage.keep(own, "shingles")
+    own = sets.join(docs.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "comp", F.coalesce("minor", F.lit(False)).alias("minor"), F.size("shingles").alias("n"), F.xxhash64("shingles").alias("set"), "shingles")
+    # repeated rows are one set, or each of its shingles would take several places in the order
+    own = stage.keep(own.dropDuplicates(["doc_id", "set"]).withColumn("s", F.explode("shingles")).drop("shingles"), "shingles")
     held = own.groupBy("s").agg(F.count(F.lit(1)).alias("held"))
     order = Window.partitionBy("doc_id", "set").orderBy("held", "s")
     ranked = own.join(held, "s").withColumn("i", F.row_number().over(order) - 1)

@@ -82,6 +82,13 @@ def test_prefix_pairs_lose_nothing(spark):
     assert linked and linked <= got
 
 
+def test_prefix_pairs_of_repeated_rows(spark):
+    rows = spark.createDataFrame([(i, s.view(np.int64).tolist()) for i, s in enumerate(_sets(list(mutants(5).values())))], "doc_id long, shingles array<long>")
+    docs = rows.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("comp"), F.lit(True).alias("minor"))
+    once, often = ({(r.a, r.b) for r in near_dedup.prefix_pairs(docs, sets, 85, Stage(spark, name)).collect()} for name, sets in (("once", rows), ("often", rows.union(rows).union(rows).union(rows))))
+    assert once and often == once
+
+
 def _sets(texts):
     import pyarrow as pa
 
