@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,25 +21,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set (tests)."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Only where all runs in one process on one machine (tests) may it be unset: then it is a folder of our own.
+    """
     global _own_dir
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     _own_dir = _own_dir or tempfile.mkdtemp(prefix="spark-")
     return f"file://{_own_dir}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Stage:
     """Stage tables of one operator run.
 
     ``keep`` writes a DataFrame as Parquet to the shared folder and reads it back, so a lost executor
-    costs a reread and not the work behind it. ``drop`` deletes a table that later steps don't read.
+    costs a reread and not the work behind it. ``drop`` deletes tables that later steps don't read. What an
+    operator's result still reads stays until ``sweep``.
     """
 
+    open: ClassVar[list[Stage]] = []
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        Stage.open.append(self)
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -51,13 +66,20 @@ class Stage:
         kept._millrace_path = at
         return kept
 
-    def drop(self, df: DataFrame) -> None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(df._millrace_path)
-        hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            remove(self.spark, df._millrace_path)
+
+
+def sweep(spark: SparkSession, *but: Stage) -> None:
+    """Delete the stage tables of all runs of this process but the given ones, after their results have been written."""
+    for stage in [s for s in Stage.open if s not in but]:
+        remove(spark, stage.root)
+        Stage.open.remove(stage)
 
 
-def split_hot(rows: DataFrame, groups: DataFrame, key: str, total: int, share: int = 1000) -> DataFrame:
-    """``rows`` inner-joined to ``groups`` on ``key``, without dealing a hot key to one task.
+def split_hot(rows: DataFrame, groups: DataFrame, key: str, total: int, share: int = 1000, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``groups`` on ``key`` (inner or left), without dealing a hot key to one task.
 
     ``groups`` has one row per key and a column ``group_size``. At most ``share`` keys can hold more
     than ``total / share`` rows each; those are broadcast (``share`` rows at the very most), all others
@@ -66,19 +88,29 @@ def split_hot(rows: DataFrame, groups: DataFrame, key: str, total: int, share: i
     limit = max(1, total // share)
     hot = F.broadcast(groups.where(F.col("group_size") > limit))
     cold = groups.where(F.col("group_size") <= limit)
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, how))
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str, by: str, share: int = 5000) -> DataFrame:
+    """``rows`` inner-joined to ``keyed`` on ``key``, with a hot key's rows dealt to several tasks by a hash of ``by``.
+
+    Keys with more than a ``share``-th of all rows (at most ``share`` keys, which are broadcast with their number
+    of parts) have their rows of ``keyed`` copied once for each part. ``rows`` should be a stage table.
+    """
+    limit = max(1000, rows.count() // share)
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit).select(key, F.ceil(F.col("__n") / limit).cast("int").alias("__parts"))
+    hot = F.broadcast(hot)
+    dealt = rows.join(hot, key, "left").withColumn("__part", F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64(by), F.col("__parts"))).otherwise(F.lit(0)).cast("int")).drop("__parts")
+    copied = keyed.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return dealt.join(copied, [key, "__part"]).drop("__part")
 
 
 #: Bits of the fixed-size filter of ``maybe_in``: at most 2 ** 19 words of 64 bits, whatever the number of ids.
 FILTER_BITS = 25
 
 
-def maybe_in(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``rows`` whose id may be among ``ids`` (one long column): all that are, and by chance some others.
-
-    A bit filter of a fixed size is broadcast, so that rows with wide columns need not be shuffled to find the
-    few that matter. With very many ids it lets more rows pass; an exact join must follow in any case.
-    """
+def _marked(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """``rows`` with a column ``__maybe``: false only if the row's id is surely not among ``ids``."""
     spot = lambda c: F.xxhash64(c.cast("long")).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     words = (
         ids.select(spot(F.col(ids.columns[0])).alias("__spot"))
@@ -86,5 +118,22 @@ def maybe_in(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFra
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(__spot & 63 as int))")).alias("__bits"))
     )
     marked = rows.withColumn("__spot", spot(F.col(id_col))).withColumn("__at", F.shiftright("__spot", 6))
-    met = marked.join(F.broadcast(words), F.col("__at") == F.col("__word"))
-    return met.where("shiftright(__bits, cast(__spot & 63 as int)) & 1 = 1").select(*rows.columns)
+    met = marked.join(F.broadcast(words), F.col("__at") == F.col("__word"), "left")
+    return met.select(*(F.col(f"`{c}`") for c in rows.columns), F.expr("coalesce(shiftright(__bits, cast(__spot & 63 as int)) & 1 = 1, false)").alias("__maybe"))
+
+
+def maybe_in(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``rows`` whose id may be among ``ids`` (one long column): all that are, and by chance some others.
+
+    A bit filter of a fixed size is broadcast, so that rows with wide columns need not be shuffled to find the
+    few that matter. With very many ids it lets more rows pass; an exact join must follow in any case.
+    """
+    return _marked(rows, ids, id_col).where("__maybe").drop("__maybe")
+
+
+def without(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``rows`` whose id is not among ``ids`` (one long column, no nulls). Only rows that the bit filter can't clear are shuffled."""
+    marked = _marked(rows, ids, id_col)
+    gone = ids.select(F.col(ids.columns[0]).alias("__gone")).distinct()
+    doubtful = marked.where("__maybe").join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    return marked.where("NOT __maybe").unionByName(doubtful).drop("__maybe")

@@ -1,37 +1,46 @@
-"""Connected components of an edge table by rounds of hooking and pointer jumping."""
+"""Connected components of an edge table by rounds of contraction."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Stage
+from millrace.llm.common import Stage, spread_join
 
 
 def connected_components(links: DataFrame, stage: Stage) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b): component is the smallest node reachable.
 
-    In every round each node looks at the smallest label among its neighbours' labels, hands it to its own label's
-    node (hooking), and then takes its label's label (jumping), so long chains shrink by a factor each round.
-    Every step is a join or an aggregation that is combined before its shuffle; each round is written as a
-    stage table, and only the number of changed labels comes to the driver. Nulls are not nodes; loops and
-    repeated edges do no harm; no edges give no rows.
+    Nodes get a random order (a bijective hash of their ids). In every round each node names the first node
+    around it, itself included, and goes on to what that one names; edges are then drawn between the named nodes,
+    and loops and repeats fall away. Random order makes long chains and wide stars alike shrink by a factor each
+    round. Every round is written as stage tables; only the number of edges left comes to the driver. A hub's
+    edges are dealt to several tasks. Nulls are not nodes; loops and repeated edges do no harm; no edges give no rows.
     """
-    pairs = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
-    edges = stage.keep(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stage.keep(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")), "labels")
-    while True:
-        # the smallest label around each node
-        around = edges.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        seen = labels.join(around, "node")
-        offers = seen.select("node", F.least("component", "near").alias("component")).unionByName(seen.select(F.col("component").alias("node"), F.col("near").alias("component")))
-        hooked = stage.keep(offers.groupBy("node").agg(F.min("component").alias("component")), "hooked")
-        jumped = hooked.alias("x").join(hooked.alias("y"), F.col("x.component") == F.col("y.node"), "left").select("x.node", F.least("x.component", "y.component").alias("component"))
-        after = stage.keep(jumped, "labels")
-        changed = labels.alias("o").join(after.alias("n"), "node").where("o.component <> n.component").limit(1).count()
-        stage.drop(hooked)
-        stage.drop(labels)
-        labels = after
-        if not changed:
-            stage.drop(edges)
-            return labels
+    pairs = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    nodes = stage.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("at", F.xxhash64("node")), "nodes")
+    edges = stage.keep(pairs.select(*_ordered(F.xxhash64("a"), F.xxhash64("b"))).distinct(), "edges")
+    rounds = []
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        named = stage.keep(both.groupBy("u").agg(F.least("u", F.min("v")).alias("to")), "named")
+        onward = spread_join(named, named.select(F.col("u").alias("to"), F.col("to").alias("next")), "to", "u").select("u", F.col("next").alias("to"))
+        onward = stage.keep(onward, "onward")
+        half = stage.keep(spread_join(edges, onward, "u", "v").select(F.col("to").alias("x"), F.col("v").alias("u")), "half")
+        less = spread_join(half, onward, "u", "x").where("x <> to").select(*_ordered(F.col("x"), F.col("to"))).distinct()
+        less = stage.keep(less, "edges")
+        stage.drop(named, half, edges)
+        rounds.append(onward)
+        edges = less
+    # where each node ends
+    for k, onward in enumerate(rounds):
+        nodes = nodes.join(onward.select(F.col("u").alias("at"), F.col("to").alias(f"to{k}")), "at", "left").select("node", F.coalesce(f"to{k}", "at").alias("at"))
+    ended = stage.keep(nodes, "ended")
+    least = ended.groupBy("at").agg(F.min("node").alias("component"))
+    labels = stage.keep(spread_join(ended, least, "at", "node").select("node", "component"), "labels")
+    stage.drop(ended, edges, *rounds)
+    return labels
+
+
+def _ordered(x, y):
+    return F.least(x, y).alias("u"), F.greatest(x, y).alias("v")

@@ -6,18 +6,20 @@ is the document's key in it: ``m * m`` tables from ``2 * m`` groups, so the hash
 root of what as many independent tables need. Two documents meet when some group of each collection agrees.
 
 Steps:
-1. One Arrow pass over the texts: size, 128-bit fingerprint and groups of each document's shingle set.
+1. One Arrow pass over the texts: size, 128-bit cryptographic digest and groups of each document's whole shingle set.
 2. Documents with equal sets become one class with its smallest id as representative.
-3. Every table bucket compares its members with its smallest member only (a star, not all pairs).
-4. After the components of the verified links, buckets that still hold several components are finished: each
-   member outside its bucket's largest component is compared with all members of other components that an exact
-   prefix filter leaves (see ``prefix_pairs``). No possible link between two components of a bucket stays
-   untested, so none is lost to the star.
-5. Every comparison is exact, on the two whole sets.
+3. Groups that no other class has are left out; keys are formed by pairs of the groups that are left.
+4. Every table bucket compares its members with its smallest member only (a star, not all pairs).
+5. After the components of the verified links, buckets whose other members still lie in several components, among
+   members of about the same size, are finished: each member outside its bucket's largest component is compared
+   with all members of other components that an exact prefix filter leaves (see ``prefix_pairs``). No possible
+   link between two components of a bucket stays untested, so none is lost to the star.
+6. Every comparison is exact, on the two whole sets.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -27,11 +29,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import tokens
-from millrace.llm.common import Stage, maybe_in, table
+from millrace.llm.common import Stage, maybe_in, spread_join, table, without
 from millrace.llm.components import connected_components
 
 WIDTH = 5
-ROWS = 2
+ROWS = 3
 #: Chance to miss a pair that is exactly at the threshold.
 MISS = 1e-4
 PERCENT = 85
@@ -47,27 +49,24 @@ def _ascii_lower(data: np.ndarray) -> np.ndarray:
 
 
 def signatures(batches: Iterator[pa.RecordBatch], width: int, groups: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, n_shingles, fp1, fp2, groups): the 2 * ``groups`` MinHash groups of the set."""
+    """(doc_id, text) to (doc_id, n_shingles, digest, bands): digest and 2 * ``groups`` MinHash groups of the whole set."""
     hashes = 2 * groups * ROWS
     factors = tokens.mix(np.arange(1, hashes + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
     for batch in batches:
         n = batch.num_rows
-        sizes, fp1, fp2 = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        sizes, digests = np.zeros(n, np.int64), []
         bands = np.zeros((n, 2 * groups), np.uint64)
         for at, data, offsets in tokens.chunks(batch.column(1)):
             hashed, _, _, bounds = tokens.words(_ascii_lower(data), offsets)
             sets = list(tokens.shingles(hashed, bounds, width))
+            digests += [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
             size = np.array([len(s) for s in sets], np.int64)
-            to = at + len(sets)
-            sizes[at:to] = size
+            sizes[at : at + len(sets)] = size
             full = np.flatnonzero(size)
             if not len(full):
                 continue
-            every = np.concatenate(sets)
+            scrambled = tokens.mix(np.concatenate(sets))
             begin = (np.cumsum(size) - size)[full]
-            fp1[at:to][full] = np.add.reduceat(every, begin)
-            scrambled = tokens.mix(every)
-            fp2[at:to][full] = np.add.reduceat(scrambled, begin)
             minima = np.empty((len(full), hashes), np.uint64)
             for k in range(hashes):
                 minima[:, k] = np.minimum.reduceat(scrambled * factors[k], begin)
@@ -78,7 +77,7 @@ def signatures(batches: Iterator[pa.RecordBatch], width: int, groups: int) -> It
             bands[at + full] = banded
         flat = pa.array(bands.reshape(-1).view(np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (2 * groups)), flat)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(fp1.view(np.int64)), pa.array(fp2.view(np.int64)), lists], ["doc_id", "n_shingles", "fp1", "fp2", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(digests, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "bands"])
 
 
 def shingle_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -105,38 +104,47 @@ def _common(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold. Hot members of pairs are split by the joins (plain shuffled equi-joins)."""
+    """The pairs (a, b) of a stage table whose sets reach the threshold. Pairs of a hot member (a bucket's hub) are dealt to several tasks, each of which gets its set once."""
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
-    met = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "left", "right")
+    met = spread_join(pairs.select("a", "b"), one, "a", "b").join(two, "b").select("a", "b", "left", "right")
     return met.mapInArrow(lambda it: _common(it, percent), "a long, b long").distinct()
 
 
+def keys_of(able: DataFrame, groups: int, stage: Stage) -> DataFrame:
+    """(key, rep, n): the keys of classes (rep, n, bands) in all tables, from pairs of groups that some other class has too."""
+    grouped = able.select("rep", "n", F.posexplode("bands").alias("g", "x"))
+    shared = grouped.groupBy("g", "x").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("g", "x")
+    live = stage.keep(grouped.join(shared, ["g", "x"]).groupBy("rep", "n").agg(F.collect_list(F.struct("g", "x")).alias("live")), "live")
+    first = live.select("rep", "n", "live", F.explode(F.filter("live", lambda e: e["g"] < groups)).alias("p"))
+    both = first.select("rep", "n", "p", F.explode(F.filter("live", lambda e: e["g"] >= groups)).alias("q"))
+    return both.select(F.xxhash64("p.g", "q.g", "p.x", "q.x").alias("key"), "rep", "n")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Words are maximal runs outside ASCII white space of the text with A-Z in lower case; a set holds the
     distinct ``width``-word shingles, or the whole sequence of a shorter text. Documents are linked when
     100 * intersection >= ``percent`` * union; component_id is the smallest id reachable. Null and empty texts
-    and texts without words have an empty set and are linked with nothing. Rows with a null id keep a null
-    component_id, are linked with nothing and are kept. Rows that repeat an id are one document: their links
-    add up, and they are kept or dropped together. Columns other than the two are not read. An empty table
-    gives an empty result.
+    and texts without words have an empty set and are linked with nothing. Texts are taken whole, however long.
+    Rows with a null id keep a null component_id, are linked with nothing and are kept. Rows that repeat an id
+    are one document: their links add up, and they are kept or dropped together. Columns other than the two are
+    not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     stage = Stage(spark, "near-dedup")
     groups = groups_for(percent)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = stage.keep(texts.mapInArrow(lambda it: signatures(it, width, groups), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"), "signed")
+    signed = stage.keep(texts.mapInArrow(lambda it: signatures(it, width, groups), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
 
     # classes of equal sets; sets too small to have a different partner at the threshold have no keys
     classes = stage.keep(
-        signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands")),
+        signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands")),
         "classes",
     )
     able = classes.where(100 * F.col("n") >= percent * (F.col("n") + 1))
-    first = able.select("rep", "n", F.slice("bands", groups + 1, groups).alias("second"), F.posexplode(F.slice("bands", 1, groups)).alias("i", "x"))
-    keys = first.select("rep", "n", "i", "x", F.posexplode("second").alias("j", "y")).select(F.xxhash64("i", "j", "x", "y").alias("key"), "rep")
+    keys = keys_of(able, groups, stage)
     stars = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("far")).where("hub < far").select("key", "hub")
     members = stage.keep(keys.join(stars, "key"), "members")
 
@@ -144,25 +152,31 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     tested = stage.keep(_near_in_size(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), sizes, percent), "tested")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = maybe_in(texts, wanted).mapInArrow(lambda it: shingle_sets(it, width), "doc_id long, shingles array<long>")
-    sets = stage.keep(sets.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), "sets")
+    sets = stage.keep(sets.join(wanted, "doc_id", "left_semi"), "sets")
     links = stage.keep(verified(tested, sets, percent), "links")
     labels = connected_components(links, stage)
 
-    # buckets that still hold several components
-    labelled = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_members = stage.keep(labelled.join(mixed, "key"), "open")
-    largest = open_members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
-    minor = open_members.join(largest, "key").where("comp <> main").select("rep").distinct().withColumn("minor", F.lit(True))
-    in_open = open_members.select("rep", "comp").distinct().join(minor, "rep", "left")
-    cross = prefix_pairs(in_open, sets, percent, stage).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    more = stage.keep(verified(cross, sets, percent), "links")
-    if not more.isEmpty():
-        labels = connected_components(links.unionByName(more), stage)
+    # buckets whose members beside the hub (which has met all) still lie in several components, at sizes that allow a link
+    step = math.log(100 / percent)
+    band = F.floor(F.log("n") / step).cast("int")
+    others = members.where("rep <> hub").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"), F.explode(F.array(band, band + 1)).alias("band"))
+    others = stage.keep(others, "others")
+    mixed = others.groupBy("key", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "band")
+    open_members = stage.keep(others.join(mixed, ["key", "band"]), "open")
+    if not open_members.isEmpty():
+        largest = open_members.groupBy("key", "band", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key", "band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
+        minor = open_members.join(largest, ["key", "band"]).where("comp <> main").select("rep").distinct().withColumn("minor", F.lit(True))
+        in_open = open_members.select("rep", "comp").distinct().join(minor, "rep", "left")
+        cross = stage.keep(prefix_pairs(in_open, sets, percent, stage).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "cross")
+        more = stage.keep(verified(cross, sets, percent), "links")
+        if not more.isEmpty():
+            labels = connected_components(links.unionByName(more), stage)
+        stage.drop(cross, more)
+    stage.drop(members, tested, sets, links, others, open_members)
 
     # a class whose representative id is also another class's stands for the same document
-    found = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component_id"))
-    with_set = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "fp1", "fp2").join(found, ["fp1", "fp2"]).select("doc_id", "n_shingles", "component_id")
+    found = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    with_set = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "digest").join(found, "digest").select("doc_id", "n_shingles", "component_id")
     alone = signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return with_set.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -193,6 +207,10 @@ def prefix_pairs(docs: DataFrame, sets: DataFrame, percent: int, stage: Stage) -
     # a shingle that one document has takes its place in the order but can't meet another; the smallest partner has
     # percent / 100 of the size
     early = ranked.where("held > 1").where((100 + percent) * 100 * (F.col("n") - F.col("i")) >= percent * (100 + percent) * F.col("n"))
+    early = stage.keep(early.select("doc_id", "comp", "minor", "n", "s", "i"), "early")
+    # a shingle that only one component offers joins nothing
+    between = early.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("minor").alias("some_minor")).where("lo < hi AND some_minor").select("s")
+    early = early.join(between, "s")
     spread = F.filter(
         F.sequence(_size_class(F.col("n") * percent / 100) - 1, _size_class(F.col("n") * 100 / percent) + 1),
         lambda c: (100 + percent) * (F.col("n") - F.col("i")) >= percent * (F.col("n") + F.floor(F.pow(F.lit(SIZE_STEP), c)) - 1),
@@ -214,10 +232,15 @@ def _near_in_size(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame
 
 
 def keep_one(docs: DataFrame, percent: int = 80, **options) -> DataFrame:
-    """``docs`` without the near copies: of every group the document with the smallest id stays."""
+    """``docs`` without the near copies: of every group the document with the smallest id stays.
+
+    Null ids, texts without words and unlinked documents stay; rows that repeat an id stay or go together. An
+    empty table stays empty.
+    """
     id_col = options.get("id_col", "doc_id")
     gone = near_duplicates(docs, percent, **options).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"))
+    return without(rows, gone).select("row.*")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
