@@ -49,18 +49,17 @@ def byte_counts(data: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...],
     return _counts(data, offsets, orders, buckets, False)
 
 
-def _counts(data: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...], buckets: int, in_words: bool) -> np.ndarray:
+def _grams(data: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...], bits: int, in_words: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order: hashes of ``bits`` bits of the n-grams at every place, the text of each, and whether it is one."""
     texts = len(offsets) - 1
     lengths = np.diff(offsets)
     # one border space before each text and after the last keeps words of two texts apart
     padded = np.full(len(data) + texts + 1, 32, np.uint8)
     for i in range(texts):
         padded[offsets[i] + i + 1 : offsets[i + 1] + i + 1] = data[offsets[i] : offsets[i + 1]]
-    base = np.concatenate((np.repeat(np.arange(texts, dtype=np.int32) * np.int32(buckets), lengths + 1), np.full(1, texts * buckets, np.int32)))
-    nowhere = np.int32(texts * buckets)
+    text = np.concatenate((np.repeat(np.arange(texts, dtype=np.int32), lengths + 1), np.full(1, texts, np.int32)))
     wide = padded.astype(np.uint32)
-    out = np.zeros(texts * buckets + 1, np.int64)
-    shift = np.uint32(32 - int(buckets).bit_length() + 1)
+    shift = np.uint32(32 - bits)
     space = padded == 32
     gram = wide
     inner = np.zeros(len(padded), bool)
@@ -75,16 +74,29 @@ def _counts(data: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...], buck
             inner = inner | space[order - 2 : order - 2 + n]
         if order not in orders:
             continue
-        keyed = ((gram + np.uint32(order)) * np.uint32(0x9E3779B1) >> shift).astype(np.int32)
-        keyed += base[:n]
+        hashed = ((gram + np.uint32(order)) * np.uint32(0x9E3779B1) >> shift).astype(np.int32)
         if in_words:
-            keyed[inner | (space[:n] & space[order - 1 :])] = nowhere
-        elif texts > 1:
-            keyed[base[:n] != base[order - 2 : order - 2 + n]] = nowhere
-        out += np.bincount(keyed, minlength=len(out))
+            whole = ~(inner | (space[:n] & space[order - 1 :]))
+        else:
+            whole = text[:n] == text[order - 2 : order - 2 + n] if texts > 1 else np.ones(n, bool)
+        yield hashed, text[:n], whole
+
+
+def _counts(data: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...], buckets: int, in_words: bool) -> np.ndarray:
+    texts = len(offsets) - 1
+    out = np.zeros(texts * buckets + 1, np.int64)
+    for hashed, text, whole in _grams(data, offsets, orders, int(buckets).bit_length() - 1, in_words):
+        out += np.bincount(np.where(whole, text * np.int32(buckets) + hashed, np.int32(texts * buckets)), minlength=len(out))
     return out[:-1].astype(np.float32).reshape(texts, buckets)
 
 
+def subwords(data: np.ndarray, offsets: np.ndarray, order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of every byte n-gram of one order inside words, borders included."""
+    for hashed, text, whole in _grams(_LETTERS[data], offsets, (order,), bits, True):
+        return hashed[whole], text[whole]
+    return np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+
 def lowered(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(pc.fill_null(column, ""))
 

@@ -2,8 +2,15 @@
 
 A text is the average of the embeddings of its hashed byte n-grams (inside words, borders marked). Embeddings
 and softmax are trained together by stochastic gradient descent in numpy on the driver, on a bounded sample
-(``PER_CLASS`` documents per language, whole and in short pieces). A part of the sample is kept apart to set
-the temperature of the softmax and the score below which a text counts as rejected.
+(whole documents and short pieces of them).
+
+One document in five of the sample is kept apart to set the temperature of the softmax and two limits. A text
+is rejected when its largest probability is below that of nearly all calibration pieces, or when it is foreign
+to the language that it is taken for: for every language the n-grams of ``SEEN_ORDER`` bytes of its sample are
+kept as a bit map, and the evidence of a text is the log likelihood ratio of its seen and unseen n-grams
+between texts of the language and others (calibration pieces of one language held against the maps of all
+others, and pieces with shuffled letters), on average over its n-grams and ``PRIOR`` more that tell nothing. So
+short texts have little evidence either way, and a foreign part doesn't outweigh the rest of a long text.
 """
 
 from __future__ import annotations
@@ -18,16 +25,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import table
-from millrace.llm.features import dense_chunks, held_out, lowered, sample_per_class, subword_counts
+from millrace.llm.features import dense_chunks, held_out, lowered, sample_per_class, subword_counts, subwords
 
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 13
 DIM = 16
-#: Bounds of the training sample: documents per language, and languages (the most frequent ones).
-PER_CLASS = 200
-MAX_CLASSES = 200
-#: Share of calibration documents that may fall below the rejection score.
-REJECT = 0.002
+#: n-grams whose presence in a language's sample is kept: bytes, and bits of their hashes.
+SEEN_ORDER, SEEN_BITS = 4, 16
+PRIOR = 20
+#: Bounds of the training sample: documents of a language, documents of all languages together, and documents
+#: that every language has at least, however many languages there are.
+PER_CLASS, SAMPLE, LEAST = 200, 6000, 20
+#: Share of calibration pieces that may fall below each of the two limits.
+REJECT = 0.001
+#: Letters of the pieces of a document (from its middle and elsewhere) that are learned and calibrated on beside the whole.
+PIECES = (80, 25, 9)
 UNKNOWN = "und"
 
 
@@ -39,14 +51,37 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float = 1.0
     reject_below: float = 0.0
+    seen: np.ndarray | None = None  # languages x 2 ** SEEN_BITS
+    #: Evidence that a seen and an unseen n-gram give, and the least average of it that is accepted.
+    evidence: tuple[float, float] = (0.0, 0.0)
+    least_evidence: float = -np.inf
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
-        hidden = _mean(counts) @ self.embedding
+        hidden = (counts / np.maximum(counts.sum(1, keepdims=True), 1)) @ self.embedding
         return _softmax((hidden @ self.weights + self.bias) / self.temperature)
 
+    def familiar(self, data: np.ndarray, offsets: np.ndarray, language: np.ndarray) -> np.ndarray:
+        """Evidence of each text for its language."""
+        spot, text = subwords(data, offsets, SEEN_ORDER, SEEN_BITS)
+        number = np.bincount(text, minlength=len(language))
+        hits = np.bincount(text, self.seen[language[text], spot], len(language))
+        return (hits * self.evidence[0] + (number - hits) * self.evidence[1]) / (number + PRIOR)
 
-def _mean(counts: np.ndarray) -> np.ndarray:
-    return counts / np.maximum(counts.sum(1, keepdims=True), 1)
+
+@dataclass
+class Sparse:
+    """Rows of averaged counts; only the rows of one batch are ever unfolded."""
+
+    begin: np.ndarray
+    spots: np.ndarray
+    values: np.ndarray
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(at), BUCKETS), np.float32)
+        for i, r in enumerate(at):
+            own = slice(self.begin[r], self.begin[r + 1])
+            out[i, self.spots[own]] = self.values[own] / max(float(self.values[own].sum()), 1.0)
+        return out
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -54,20 +89,17 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(x: np.ndarray, y: np.ndarray, languages: list[str], whole: np.ndarray, group: np.ndarray, epochs: int = 12, seed: int = 7) -> LanguageModel:
-    """Fit on averaged counts ``x`` (rows x BUCKETS) and classes ``y``; one group in five is for calibration."""
+def train(x: Sparse, y: np.ndarray, languages: list[str], aside: np.ndarray, epochs: int = 12, seed: int = 7) -> LanguageModel:
+    """Fit on averaged counts and classes ``y``; rows ``aside`` only set the temperature and the limit of the softmax."""
     rng = np.random.default_rng(seed)
     k = len(languages)
     model = LanguageModel(languages, rng.normal(0, 1, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.3, (DIM, k)).astype(np.float32), np.zeros(k, np.float32))
-    aside = group % 5 == 4
-    if not aside.any() or aside.all():
-        aside = np.zeros(len(y), bool)
     learn = np.flatnonzero(~aside)
     target = np.eye(k, dtype=np.float32)
     for epoch in range(epochs):
         rate = 20.0 * (1 - epoch / epochs) + 0.5
         for at in np.array_split(rng.permutation(learn), max(1, len(learn) // 32)):
-            xb = x[at]
+            xb = x.rows(at)
             hidden = xb @ model.embedding
             error = (_softmax(hidden @ model.weights + model.bias) - target[y[at]]) / len(at)
             back = error @ model.weights.T
@@ -75,62 +107,114 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], whole: np.ndarray,
             model.bias -= 0.05 * rate * error.sum(0)
             model.embedding -= rate * xb.T @ back
     check = np.flatnonzero(aside) if aside.any() else learn
-    logits = (x[check] @ model.embedding) @ model.weights + model.bias
+    logits = np.concatenate([x.rows(at) @ model.embedding @ model.weights + model.bias for at in np.array_split(check, -(-len(check) // 64))])
     losses = {t: -np.log(np.maximum(_softmax(logits / t)[np.arange(len(check)), y[check]], 1e-9)).mean() for t in (0.5, 0.7, 1.0, 1.4, 2.0, 3.0)}
     model.temperature = min(losses, key=losses.get)
-    best = _softmax(logits / model.temperature).max(1)[whole[check]]
-    # never far above an even split between the languages: a short but proper text is not to be lost
-    model.reject_below = float(min(1.25 / k, np.quantile(best, REJECT))) if len(best) else 0.0
+    model.reject_below = float(np.quantile(_softmax(logits / model.temperature).max(1), REJECT))
     return model
 
 
+def calibrate(model: LanguageModel, own: np.ndarray, other: np.ndarray) -> None:
+    """Set what n-grams tell, and the limit: ``own`` and ``other`` are rows of (n-grams, seen ones) of accepted and of foreign texts."""
+    rate = lambda a: float(np.clip((a[:, 1].sum() + 1) / (a[:, 0].sum() + 2), 1e-3, 1 - 1e-3))
+    known, foreign = rate(own), rate(other)
+    if foreign >= known:  # nothing tells them apart
+        return
+    model.evidence = float(np.log(known / foreign)), float(np.log((1 - known) / (1 - foreign)))
+    tell = lambda a: (a[:, 1] * model.evidence[0] + (a[:, 0] - a[:, 1]) * model.evidence[1]) / (a[:, 0] + PRIOR)
+    model.least_evidence = float(np.quantile(tell(own), REJECT))
+
+
 def _pieces(text: str) -> list[str]:
-    """A text and two short pieces of it, so that short texts are learned too."""
-    mid = len(text) // 2
-    return [text, text[mid : mid + 80], text[mid // 2 : mid // 2 + 25]]
+    """A text and short pieces of it, so that short texts are learned too."""
+    at = len(text) // 2
+    return [text, *(text[at // (i + 1) : at // (i + 1) + n] for i, n in enumerate(PIECES))]
+
+
+def _shuffled(data: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The bytes of a text in another order, spaces where they were."""
+    out = data.copy()
+    letters = np.flatnonzero(data != 32)
+    out[letters] = data[rng.permutation(letters)]
+    return out
 
 
 def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, lang, text) to sparse counts of the text and its pieces."""
+    """(doc_id, lang, text) to sparse counts of the text and its pieces, and n-grams of each and of its letters shuffled."""
+    lists = lambda rows, kind: pa.array(rows, pa.list_(kind))
     for batch in batches:
         for i in range(batch.num_rows):
             pieces = lowered(pa.array(_pieces(batch.column(2)[i].as_py() or "")))
             counts = [row for _, data, offsets in dense_chunks(pieces) for row in subword_counts(data, offsets, ORDERS, BUCKETS)]
-            spots = [np.flatnonzero(c) for c in counts]
+            spots = [np.flatnonzero(c).astype(np.int32) for c in counts]
+            seen, mixed = [], []
+            rng = np.random.default_rng(len(pieces[0].as_py()))
+            for piece in pieces:
+                data = np.frombuffer(piece.as_py().encode(), np.uint8)
+                for into, bytes_ in ((seen, data), (mixed, _shuffled(data, rng))):
+                    into.append(np.unique(subwords(bytes_, np.array([0, len(bytes_)]), SEEN_ORDER, SEEN_BITS)[0], return_counts=True))
+            n = len(pieces)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([batch.column(0)[i].as_py()] * 3), pa.array([batch.column(1)[i].as_py()] * 3), pa.array([0, 1, 2], pa.int32()), pa.array([x.astype(np.int32) for x in spots], pa.list_(pa.int32())), pa.array([c[x] for c, x in zip(counts, spots, strict=True)], pa.list_(pa.float32()))],
-                ["doc_id", "lang", "piece", "spots", "counts"],
-            )
+                [pa.array([batch.column(0)[i].as_py()] * n), pa.array([batch.column(1)[i].as_py()] * n), pa.array(np.arange(n, dtype=np.int32)), lists(spots, pa.int32()), lists([c[s] for c, s in zip(counts, spots, strict=True)], pa.float32()),
+                 lists([g for g, _ in seen], pa.int32()), lists([t.astype(np.int32) for _, t in seen], pa.int32()), lists([g for g, _ in mixed], pa.int32()), lists([t.astype(np.int32) for _, t in mixed], pa.int32())],
+                ["doc_id", "lang", "piece", "spots", "counts", "seen", "times", "mixed", "mixed_times"],
+            )
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = PER_CLASS) -> LanguageModel | None:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = PER_CLASS, sample: int = SAMPLE) -> LanguageModel | None:
     """Model from labelled rows outside the held-out fold; None if there are none.
 
-    At most ``per_class * MAX_CLASSES`` documents are used, picked by a hash of their ids.
+    Of every language at most ``per_class`` documents are used, and no more than its share of ``sample`` (but
+    ``LEAST``), picked by a hash of their ids. Null ids, null languages and texts without a letter are not
+    learned from; repeated rows count as often as they are there. With one language only, every text is taken
+    for it unless it is rejected.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    frequent = F.broadcast(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_CLASSES).select("lang"))
-    ids = sample_per_class(rows.where("doc_id IS NOT NULL").select("doc_id", "lang").join(frequent, "lang"), "lang", per_class).select("doc_id", "lang")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    per_class = max(LEAST, min(per_class, sample // max(1, rows.select("lang").distinct().count())))
+    ids = sample_per_class(rows.select("doc_id", "lang"), "lang", per_class).select("doc_id", "lang").distinct()
     picked = rows.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", "text")
-    got = picked.mapInArrow(_sample_counts, "doc_id long, lang string, piece int, spots array<int>, counts array<float>").toArrow().sort_by([("doc_id", "ascending"), ("piece", "ascending")])
+    got = picked.mapInArrow(_sample_counts, "doc_id long, lang string, piece int, spots array<int>, counts array<float>, seen array<int>, times array<int>, mixed array<int>, mixed_times array<int>").toArrow().sort_by([("doc_id", "ascending"), ("piece", "ascending")]).combine_chunks()
+    got = got.filter(pc.greater(pc.list_value_length(got["spots"]), 0)).combine_chunks()
     if not got.num_rows:
         return None
     languages = sorted(set(got["lang"].to_pylist()))
-    number = {lang: i for i, lang in enumerate(languages)}
-    x = np.zeros((got.num_rows, BUCKETS), np.float32)
-    for i, (spots, counts) in enumerate(zip(got["spots"], got["counts"], strict=True)):
-        x[i, spots.values.to_numpy()] = counts.values.to_numpy()
-    y = np.array([number[v] for v in got["lang"].to_pylist()])
-    ids_ = got["doc_id"].to_numpy()
-    _, group = np.unique(ids_, return_inverse=True)
-    full = x.any(1)
-    return train(_mean(x)[full], y[full], languages, (got["piece"].to_numpy() == 0)[full], group[full])
+    y = np.searchsorted(languages, got["lang"].to_pylist())
+    flat = lambda name: (got[name].combine_chunks().offsets.to_numpy(), got[name].combine_chunks().flatten().to_numpy())
+    (begin, spots), (_, counts) = flat("spots"), flat("counts")
+    group = np.unique(got["doc_id"].to_numpy(), return_inverse=True)[1]
+    aside = group % 5 == 4
+    if aside.all():
+        aside[:] = False
+    model = train(Sparse(begin - begin[0], spots, counts), y, languages, aside)
+
+    # which n-grams each language has; then what calibration pieces look like to their own language and to all others
+    (begin, seen), (_, times) = flat("seen"), flat("times")
+    row = np.repeat(np.arange(len(y)), np.diff(begin))
+    model.seen = np.zeros((len(languages), 1 << SEEN_BITS), bool)
+    learned = ~aside[row]
+    model.seen[y[row[learned]], seen[learned]] = True
+    check = np.flatnonzero(aside) if aside.any() else np.arange(len(y))
+
+    def told(name: str, by: np.ndarray) -> np.ndarray:
+        """(n-grams, seen ones) of the calibration rows under the languages that ``by`` (rows x languages) allows, the best of them."""
+        (start, grams), (_, often) = flat(name), flat("times" if name == "seen" else "mixed_times")
+        out = np.zeros((len(check), 2))
+        for j, r in enumerate(check):
+            own = slice(start[r], start[r + 1])
+            hits = [int(often[own][model.seen[k, grams[own]]].sum()) for k in np.flatnonzero(by[j])]
+            out[j] = often[own].sum(), max(hits, default=0)
+        return out
+
+    proper = np.eye(len(languages), dtype=bool)[y[check]]
+    every = np.ones_like(proper)  # a document with a wrong label is no foreign text
+    calibrate(model, told("seen", every), np.concatenate((told("seen", ~proper), told("mixed", every))) if len(languages) > 1 else told("mixed", every))
+    return model
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
-        best, score = np.zeros(n, np.int64), np.zeros(n)
+        best, score, evidence = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
         text = lowered(batch.column(1))
         known = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False)
         if model is None:
@@ -138,19 +222,22 @@ def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel | None) ->
         else:
             for at, data, offsets in dense_chunks(text):
                 p = model.scores(subword_counts(data, offsets, ORDERS, BUCKETS))
-                best[at : at + len(p)], score[at : at + len(p)] = p.argmax(1), p.max(1)
+                to = at + len(p)
+                best[at:to], score[at:to] = p.argmax(1), p.max(1)
+                evidence[at:to] = model.familiar(data, offsets, best[at:to])
         lang = [model.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
         score = np.where(known, np.clip(score, 0, 1), 0.0)
-        rejected = ~known | (score < model.reject_below) if model else ~known
+        rejected = ~known | (score < model.reject_below) | (evidence < model.least_evidence) if model else ~known
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, lang_pred, score, rejected.
 
-    Only the text decides, all of it. Null texts and texts without a letter are ``und`` with score 0 and
-    rejected; so is everything if there is no model (no labelled rows). ``rejected`` texts score below the
-    calibrated limit. Repeated rows get the same answer each; null ids stay null; other columns are not read.
+    Only the text decides, all of it, however long. Null texts and texts without a letter are ``und`` with score
+    0 and rejected; so is everything if there is no model (no labelled rows). Other ``rejected`` texts carry the
+    language that is nearest to them. Equal scores: the language first in order wins. Repeated rows get the same
+    answer each; null ids stay null; other columns are not read. An empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -165,7 +252,11 @@ def _accepted(batches: Iterator[pa.RecordBatch], model: LanguageModel | None, at
 
 
 def drop_rejected(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose language is rejected; the other rows and all columns as they are."""
+    """``docs`` without the rows whose language is rejected; the other rows and all columns as they are.
+
+    Null texts and texts without a letter go; without a model everything goes. Repeated rows stay or go together;
+    ids play no part. An empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     return docs.mapInArrow(lambda it: _accepted(it, shared.value, at), docs.schema)
