@@ -1,24 +1,35 @@
 """Exact deduplication through a log-structured merge index of text digests.
 
-The index is a set of *runs* in the shared folder. A run is a Parquet table of (digest, member) entries,
-sorted by digest, with a Bloom filter and min/max statistics on the digest for point lookups. Each batch of
-documents is a memtable: it is digested, sorted and flushed as one run. Compaction merges all runs into one
-entry per digest that keeps the smallest identifier and the number of members. A hit (a digest with more
-than one member) only counts as a copy after its text has been compared byte by byte.
+The index lives in a folder of *runs*. A run is a Parquet table with one row per digest (smallest identifier and
+number of members), sorted by digest, with Parquet's Bloom filters and min/max statistics for point lookups.
+
+* A batch of documents is a *memtable*: it is reduced to one row per digest and flushed as a run of level 0.
+* A flush probes the older runs: their filter (one bit array of a fixed size, broadcast) clears most new digests,
+  and only what it can't clear is joined with the runs. What is found there, or more than once in the memtable
+  itself, is a *hit*.
+* When ``FAN`` runs are on a level they are merged into one run of the next level that keeps the smallest
+  identifiers. Every change of the set of runs is a row in the manifest, so an index can be opened again by its path.
+* Hits are looked up in the compacted index; a hit only counts as a copy after its texts have been compared byte by byte.
 
 Everything on the main path is DataFrame work. A digest that a third of all rows share is reduced to one row
-per task before any shuffle (compaction, verification) or met through a broadcast of bounded size (membership).
+per task before any shuffle (flush, merge, verification) or met through a broadcast of bounded size (membership).
 """
 
 from __future__ import annotations
 
+import functools
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Stage, maybe_in, split_hot, table
+from millrace.llm.common import FILTER_BITS, Stage, maybe_in, remove, split_hot, table
 
 #: Parquet settings of a run: a filter on the digest beside the statistics that sorting makes useful.
 RUN_OPTIONS = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "200000"}
+RUN = "digest binary, keep_id long, members long"
+#: Memtables that a table is dealt into (by a hash of the id), and runs of a level that are merged.
+MEMTABLES, FAN = 4, 2
 
 
 def normalised(text: Column) -> Column:
@@ -29,86 +40,144 @@ def normalised(text: Column) -> Column:
     return F.when(F.contains(out, F.lit("  ")), F.regexp_replace(out, " {2,}", " ")).otherwise(out)
 
 
+def digest(text: Column) -> Column:
+    return F.unhex(F.sha2(normalised(text).cast("binary"), 256))
+
+
+@dataclass(frozen=True)
+class Run:
+    level: int
+    path: str
+
+
 class DigestIndex:
-    """Runs of (digest, doc_id) entries, merged on demand."""
-
-    def __init__(self, spark: SparkSession, label: str = "digest-index"):
-        self.stage = Stage(spark, label)
-        self.spark = spark
-        self.runs: list[str] = []
-
-    def flush(self, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Write one batch as a sorted run."""
-        entries = batch.select(
-            F.sha2(normalised(F.col(text_col)).cast("binary"), 256).alias("digest"),
-            F.col(id_col).cast("long").alias("doc_id"),
-        )
-        at = self.stage.path("run")
-        entries.sortWithinPartitions("digest", "doc_id").write.options(**RUN_OPTIONS).parquet(at)
-        self.runs.append(at)
-
-    def entries(self) -> DataFrame:
-        return self.spark.read.schema("digest string, doc_id long").parquet(*self.runs)
+    """Levels of runs under ``path``; opened again if it is there already. One writer at a time."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.version, self.runs = 0, []
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            log = spark.read.schema("version int, level int, run string").json(f"{self.path}/manifest")
+            self.version = log.agg(F.max("version")).first()[0]
+            # one row per run of the newest version: about FAN of each level
+            self.runs = [Run(r.level, f"{self.path}/{r.run}") for r in log.where(F.col("version") == self.version).orderBy(F.desc("level"), "run").collect()]
+
+    def _commit(self, runs: list[Run]) -> None:
+        """The new set of runs counts once its manifest rows (one file) are there."""
+        self.version += 1
+        rows = [F.struct(F.lit(self.version).alias("version"), F.lit(r.level).alias("level"), F.lit(r.path.rsplit("/", 1)[1]).alias("run")) for r in runs]
+        self.spark.range(1, numPartitions=1).select(F.inline(F.array(*rows))).write.mode("append").json(f"{self.path}/manifest")
+        self.runs = runs
+
+    def _write(self, rows: DataFrame, level: int) -> Run:
+        run = Run(level, f"{self.path}/run-{self.version:06d}-{level}")
+        rows.sortWithinPartitions("digest").write.mode("overwrite").options(**RUN_OPTIONS).parquet(run.path)
+        return run
+
+    def read(self, *runs: Run) -> DataFrame:
+        return self.spark.read.schema(RUN).parquet(*(r.path for r in runs or self.runs))
+
+    def filter(self, *runs: Run) -> DataFrame:
+        """(word, bits): the bit filter of runs, at most 2 ** (FILTER_BITS - 6) rows."""
+        spot = F.xxhash64("digest").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+        spots = self.read(*runs).select(spot.alias("spot")).select(F.shiftright("spot", 6).alias("word"), F.expr("shiftleft(1L, cast(spot & 63 as int))").alias("bit"))
+        return spots.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+    def flush(self, memtable: DataFrame) -> DataFrame:
+        """Write a memtable (digest, doc_id) as a run, merge levels that are full, and return its hits (digest).
+
+        Hits are the digests that are several times in the memtable or that an older run has.
+        """
+        older = list(self.runs)
+        run = self._write(memtable.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("members")), 0)
+        rows = self.read(run)
+        hits = rows.where("members > 1").select("digest")
+        if older:
+            spot = F.xxhash64("digest").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+            met = rows.select("digest", spot.alias("spot")).join(F.broadcast(self.filter(*older)), F.shiftright("spot", 6) == F.col("word"))
+            doubtful = met.where("shiftright(bits, cast(spot & 63 as int)) & 1 = 1").select("digest")
+            hits = hits.unionByName(doubtful.join(self.read(*older), "digest", "left_semi").select("digest"))
+        hits_at = f"{self.path}/hits-{self.version:06d}"
+        hits.write.mode("overwrite").parquet(hits_at)
+        self._commit([*older, run])
+        self._merge_full_levels()
+        return self.spark.read.schema("digest binary").parquet(hits_at)
+
+    def merged(self, *runs: Run) -> DataFrame:
+        return self.read(*runs).groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("members").alias("members"))
+
+    def _merge_full_levels(self) -> None:
+        level = 0
+        while len(full := [r for r in self.runs if r.level == level]) >= FAN:
+            self._replace(full, level + 1)
+            level += 1
+
+    def _replace(self, runs: list[Run], level: int) -> None:
+        new = self._write(self.merged(*runs), level)
+        self._commit([*(r for r in self.runs if r not in runs), new])
+        for r in runs:
+            remove(self.spark, r.path)
 
     def compact(self) -> DataFrame:
-        """Merge all runs: one row per digest with its smallest identifier and its number of members."""
-        merged = self.entries().groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        at = self.stage.path("compacted")
-        merged.sortWithinPartitions("digest").write.options(**RUN_OPTIONS).parquet(at)
-        return self.spark.read.schema("digest string, keep_id long, group_size long").parquet(at)
+        """All runs as one, on a level above them all: one row per digest."""
+        if len(self.runs) > 1:
+            self._replace(list(self.runs), max(r.level for r in self.runs) + 1)
+        return self.read()
 
-    def lookup(self, digests: list[str]) -> DataFrame:
-        """Entries of the given digests; statistics and Bloom filters skip the row groups without them."""
-        return self.entries().where(F.col("digest").isin(digests))
+    def lookup(self, digests: list[bytes]) -> DataFrame:
+        """Rows of the given digests; statistics and Bloom filters skip the row groups without them."""
+        return self.read().where(F.col("digest").isin([F.lit(d) for d in digests]))
 
 
-def unequal_hits(docs: DataFrame, entries: DataFrame, compacted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digests whose members' normalised texts differ, by comparing the bytes of every member.
+def collided(docs: DataFrame, entries: DataFrame, hits: DataFrame) -> DataFrame:
+    """Hits whose members' normalised texts differ, by comparing the bytes of every member.
 
-    Rows are (digest, body, keep_id, group_size), one for each text of such a digest. Members of a digest are
-    aggregated by (digest, text) before the shuffle, so a text with very many copies travels once per task.
+    ``docs`` is (doc_id, text). Members are reduced to (digest, text) before the shuffle, so a text with very many copies travels once per task.
     """
-    hits = entries.join(compacted.where("group_size > 1").select("digest"), "digest", "left_semi").select(F.col("doc_id").alias("hit_id")).distinct()
-    texts = maybe_in(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body")), hits)
-    bodies = (  # an inner join (ids in hits are distinct): a semi-join would be pushed below the filter
-        texts.join(hits.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("hit_id")))
-        .withColumn("body", normalised(F.col("body")))
-        .withColumn("digest", F.sha2(F.col("body").cast("binary"), 256))
-    )
-    texts = bodies.groupBy("digest", "body").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    # a digest with several texts is a collision: only then are the texts themselves returned
-    several = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    return texts.join(several, "digest", "left_semi")
-
-
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: list[DataFrame] | None = None) -> DataFrame:
+    ids = entries.join(hits, "digest", "left_semi").select("doc_id")
+    bodies = maybe_in(docs, ids).select(digest(F.col("text")).alias("digest"), normalised(F.col("text")).alias("body")).distinct()
+    return bodies.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: list[DataFrame] | None = None, path: str | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they match after every run of ASCII white space becomes one space; null counts as
-    empty, so null and empty texts are copies of each other. Of equal texts the row with the smallest id is
-    kept. Rows that repeat an id with an equal text all count in ``group_size`` and all carry ``kept`` (the id
+    empty, so null and empty texts are copies of each other; texts are compared whole, however long. Of equal texts
+    the row with the smallest id is kept. Rows that repeat an id with an equal text all count in ``group_size`` and all carry ``kept`` (the id
     stays). A null id is never the smallest unless the whole group has null ids; then keep_id is null and
     ``kept`` true. An empty table gives an empty result. Other columns of ``docs`` are not read.
 
-    ``batches`` are the memtables (for example one DataFrame per day); by default all of ``docs`` is one.
+    ``batches`` are the memtables (for example one DataFrame per day); by default ``docs`` is dealt into
+    ``MEMTABLES`` of them. The index is built under ``path``, which must be new (by default a stage folder).
     """
     spark = docs.sparkSession
-    index = DigestIndex(spark)
-    for batch in batches or [docs]:
-        index.flush(batch, id_col, text_col)
-    compacted = index.compact()
-    entries = index.entries()
-    unequal = index.stage.keep(unequal_hits(docs, entries, compacted, id_col, text_col), "unequal")
-    total = compacted.agg(F.sum("group_size")).first()[0] or 0
-    if not unequal.isEmpty():  # digests collide: these rows are grouped by their texts instead
-        bad = unequal.select("digest").distinct()
-        bodies = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("body")).withColumn("digest", F.sha2(F.col("body").cast("binary"), 256))
-        apart = bodies.join(bad, "digest", "left_semi").join(unequal, ["digest", "body"]).select("digest", "doc_id", "keep_id", "group_size")
-        entries = entries.join(bad, "digest", "left_anti")
-        rows = split_hot(entries, compacted, "digest", total).unionByName(apart)
+    stage = Stage(spark, "exact-dedup")
+    index = DigestIndex(spark, path or stage.path("index"))
+    plain = lambda df: df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if batches is None:
+        dealt = plain(docs).select("doc_id", digest(F.col("text")).alias("digest")).withColumn("memtable", F.pmod(F.xxhash64("doc_id"), F.lit(MEMTABLES)).cast("int"))
+        at = stage.path("entries")
+        dealt.write.partitionBy("memtable").parquet(at)
+        entries = spark.read.schema("doc_id long, digest binary, memtable int").parquet(at)
+        memtables = [entries.where(F.col("memtable") == k).select("digest", "doc_id") for k in range(MEMTABLES)]
     else:
-        rows = split_hot(entries, compacted, "digest", total)
-    return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+        memtables = [stage.keep(plain(b).select(digest(F.col("text")).alias("digest"), "doc_id"), "entries") for b in batches]
+        entries = functools.reduce(DataFrame.unionByName, memtables)
+    hits = functools.reduce(DataFrame.unionByName, [index.flush(m) for m in memtables]).distinct()
+    groups = stage.keep(index.compact().join(hits, "digest").select("digest", "keep_id", F.col("members").alias("group_size")), "groups")
+    entries = entries.select("doc_id", "digest")
+    wrong = stage.keep(collided(plain(docs), entries, groups.select("digest")), "collided")
+    rows = split_hot(entries, groups, "digest", entries.count(), how="left")
+    if not wrong.isEmpty():  # digests collide: these rows are grouped by their texts instead
+        apart = plain(docs).select("doc_id", digest(F.col("text")).alias("digest"), normalised(F.col("text")).alias("body")).join(wrong, "digest", "left_semi")
+        by_text = apart.groupBy("digest", "body").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        apart = apart.join(by_text, ["digest", "body"]).select(*rows.columns)
+        rows = rows.join(wrong, "digest", "left_anti").select(*rows.columns).unionByName(apart)
+    alone = F.col("group_size").isNull()
+    keep_id = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
+    return rows.select("doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep_id).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
