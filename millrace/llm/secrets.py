@@ -4,17 +4,20 @@ Base kinds (leftmost, non-overlapping matches of each; matches that are too shor
 ``assign``, ``access`` and ``hex``. Structural kinds are only reported after their bytes have been decoded
 and parsed; text that merely looks encoded is not:
 
-* ``der``: base64 (PEM or bare) or hex whose bytes are one ASN.1 sequence with consistent nested lengths and
-  the shape of a private or public key;
+* ``der``: base64 (PEM, bare, wrapped or with escaped line ends) or hex whose bytes are one ASN.1 sequence, all of
+  whose nested lengths fit, and which is a key: RSA, DSA or EC integers, or an algorithm by its identifier with
+  the key's octets or bits, which are parsed in turn. Signatures, digests and certificates are none;
 * ``sshkey``: an OpenSSH key, binary or one-line, whose length-prefixed fields fill it exactly;
 * ``jwt``: three base64url parts whose first two are JSON objects and whose header names an algorithm.
+
+Every step is a scan from left to right without recursion, so deeply nested or very long texts do no harm.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
+import bisect
 import json
 import re
 from collections.abc import Iterator
@@ -31,21 +34,31 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
 MIN_SECRET = 6
 #: Candidates of the structural kinds. Base64 may be broken over lines, as in PEM files.
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{16,}")
+TOKEN = re.compile(r"[A-Za-z0-9_.-]+")
 BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{16,}(?:\r?\n)?)*[A-Za-z0-9+/]{16,}={0,2}")
 #: Key files by their border lines, as they are, indented, or in a string with escaped line ends.
-PEM = re.compile(r"-----BEGIN [A-Z0-9 ]+-----([^-]*)-----END [A-Z0-9 ]+-----")
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]{1,60}-----([^-]*)-----END [A-Z0-9 ]{1,60}-----")
 GAP = re.compile(r"(?:\s|\\+[nrt])+")
 LINES = re.compile(r"[A-Za-z0-9+/]+|(?:\s|\\+[nrt])+")
+PEM_PARTS = re.compile(r"((?:\s|\\+[nrt])+)|\\*([A-Za-z0-9+/=]+)|.", re.DOTALL)
 #: Where a bare DER sequence in base64 may start; how far it goes is told by its length.
 DER_START = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[nrt]))M[ICDEFGH][A-Za-z0-9+/]{14,}")
 HEX_ANY = re.compile(r"[0-9A-Fa-f]{32,}")
 #: No key encoding is shorter than this many bytes.
 MIN_BYTES = 32
+#: Least bytes of an RSA or DSA modulus (512 bits), most of a public exponent, and sizes of an EC private number.
+MODULUS, EXPONENT, EC_NUMBER = 64, 8, range(20, 73)
 SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-")
 # the only ways in which a DER sequence and the two OpenSSH encodings start, in base64
 BASE64_STARTS = ("MI", "MC", "MD", "ME", "MF", "MG", "MH", "AAAA", "b3BlbnNzaC1rZXkt")
 
+# Object identifiers of key algorithms (encoded): RSA, RSA-PSS, DSA, DH, EC, X25519, X448, Ed25519, Ed448.
+RSA_OIDS = (bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a864886f70d01010a"))
+EC_OID = bytes.fromhex("2a8648ce3d0201")
+OTHER_OIDS = (bytes.fromhex("2a8648ce380401"), bytes.fromhex("2a864886f70d010301"), *(bytes.fromhex(f"2b65{n}") for n in ("6e", "6f", "70", "71")))
+# How identifiers of password-based encryption begin (PKCS#5, PKCS#12).
+ENCRYPTION_OIDS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end) of the base kinds, ordered by start, then kind as listed."""
@@ -74,34 +87,88 @@ def der_length(data: bytes, at: int) -> tuple[int, int] | None:
     return (at, at + n) if at + n <= len(data) else None
 
 
-def der_tags(data: bytes, start: int, end: int) -> list[int] | None:
-    """Tags of the elements that fill data[start:end] exactly, with nested sequences checked too; else None."""
-    tags = []
+def der_nests(data: bytes, start: int, end: int) -> bool:
+    """Whether elements fill data[start:end] exactly, and so on in every constructed one. ``ends`` holds the ends of the open ones."""
+    ends = [end]
+    while ends:
+        if start == ends[-1]:
+            ends.pop()
+            continue
+        body = der_length(data, start)
+        if body is None or body[1] > ends[-1]:
+            return False
+        if data[start] & 0x20:  # a sequence, set or tagged part
+            ends.append(body[1])
+            start = body[0]
+        else:
+            start = body[1]
+    return True
+
+
+def der_parts(data: bytes, start: int, end: int, most: int = 12) -> list[tuple[int, int, int]] | None:
+    """(tag, start, end) of the contents of the elements that fill data[start:end]; None if they don't, or are more than ``most``."""
+    parts = []
     while start < end:
         body = der_length(data, start)
-        if body is None or body[1] > end:
-            return None
-        if data[start] == 0x30 and der_tags(data, *body) is None:
+        if body is None or body[1] > end or len(parts) == most:
             return None
-        tags.append(data[start])
+        parts.append((data[start], *body))
         start = body[1]
-    return tags
+    return parts
+
+
+def _sequence(data: bytes) -> list[tuple[int, int, int]] | None:
+    """Parts of the one sequence that fills ``data``, if all that is nested in it fits."""
+    if len(data) < 2 or data[0] != 0x30:
+        return None
+    body = der_length(data, 0)
+    if body is None or body[1] != len(data) or not der_nests(data, *body):
+        return None
+    return der_parts(data, *body)
+
+
+def _integers(data: bytes, parts: list[tuple[int, int, int]]) -> bool:
+    """RSA (public: modulus and exponent; private: version and eight numbers) or DSA (version and five numbers)."""
+    if not parts or any(t != 0x02 or a == b for t, a, b in parts):
+        return False
+    sizes = [b - a for _, a, b in parts]
+    version = sizes[0] == 1 and data[parts[0][1]] <= 1
+    if len(parts) == 2:
+        return sizes[0] >= MODULUS and sizes[1] <= EXPONENT and data[parts[1][2] - 1] & 1 == 1
+    return version and len(parts) in (6, 9) and sizes[1] >= MODULUS
+
+
+def _ec_private(data: bytes, parts: list[tuple[int, int, int]]) -> bool:
+    """Version 1, the number, and perhaps curve and public point."""
+    return len(parts) >= 2 and [t for t, _, _ in parts[:2]] == [0x02, 0x04] and data[parts[0][1] : parts[0][2]] == b"\1" and parts[1][2] - parts[1][1] in EC_NUMBER and all(t in (0xA0, 0xA1) for t, _, _ in parts[2:])
 
 
 def is_der_key(data: bytes) -> bool:
-    """One sequence that fills ``data``: PKCS#1 or SEC1 integers, PKCS#8 (version, algorithm, octets) or a public key (algorithm, bits)."""
-    if len(data) < MIN_BYTES or data[0] != 0x30:
+    """One sequence that fills ``data`` and is a private or public key (PKCS#1, SEC1, PKCS#8 plain or encrypted, SubjectPublicKeyInfo)."""
+    if len(data) < MIN_BYTES or (parts := _sequence(data)) is None:
         return False
-    body = der_length(data, 0)
-    if body is None or body[1] != len(data):
+    if _integers(data, parts) or _ec_private(data, parts):
+        return True
+    tags = [t for t, _, _ in parts]
+    versioned = tags[:3] == [0x02, 0x30, 0x04] and parts[0][2] - parts[0][1] == 1 and data[parts[0][1]] <= 1
+    if not versioned and tags not in ([0x30, 0x04], [0x30, 0x03]):
         return False
-    tags = der_tags(data, *body)
-    if not tags:
+    (_, a, b), (kind, x, y) = parts[1:3] if versioned else parts[:2]
+    named = der_parts(data, a, b)
+    if not named or named[0][0] != 0x06:
         return False
-    pkcs1 = len(tags) >= 2 and all(t == 0x02 for t in tags)
-    pkcs8 = tags[:3] == [0x02, 0x30, 0x04] or tags[:2] == [0x30, 0x04]
-    sec1 = tags[:2] == [0x02, 0x04]
-    return pkcs1 or pkcs8 or sec1 or tags == [0x30, 0x03]
+    oid, inner = data[named[0][1] : named[0][2]], data[x:y]
+    if kind == 0x03:  # a public key: no unused bits
+        if inner[:1] != b"\0":
+            return False
+        if oid in RSA_OIDS:
+            return _integers(inner[1:], _sequence(inner[1:]) or [])
+        return oid in OTHER_OIDS or (oid == EC_OID and inner[1:2] in (b"\2", b"\3", b"\4"))
+    if not versioned:
+        return oid.startswith(ENCRYPTION_OIDS) and len(inner) >= MIN_BYTES
+    if oid in RSA_OIDS:
+        return _integers(inner, _sequence(inner) or [])
+    return oid in OTHER_OIDS or (oid == EC_OID and _ec_private(inner, _sequence(inner) or []))
 
 
 def is_ssh_key(data: bytes) -> bool:
@@ -123,15 +190,34 @@ def _ssh_fields(data: bytes, at: int, count: int | None) -> list[bytes] | None:
     return fields if count is None or len(fields) == count else None
 
 
-def is_signed_token(token: str) -> bool:
+def is_signed_token(parts: list[str]) -> bool:
     """A header that is a JSON object with "alg", and a payload that is a JSON object."""
     try:
-        head, body = (json.loads(base64.urlsafe_b64decode(p + "=" * (-len(p) % 4))) for p in token.split(".")[:2])
+        head, body = (json.loads(base64.urlsafe_b64decode(p + "=" * (-len(p) % 4))) for p in parts[:2])
     except (ValueError, RecursionError):
         return False
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
 
+def token_spans(text: str) -> list[tuple[str, int, int]]:
+    """Spans of signed tokens: in a run of base64url parts, a header and a payload (both begin like an object) and a signature."""
+    found = []
+    for m in TOKEN.finditer(text):
+        if ".eyJ" not in m[0]:
+            continue
+        parts, at, k = m[0].split("."), m.start(), 0
+        starts = [at]
+        for p in parts[:-1]:
+            starts.append(starts[-1] + len(p) + 1)
+        while k + 2 < len(parts):
+            head = parts[k].find("eyJ")
+            if head >= 0 and len(parts[k]) - head >= 11 and parts[k + 1].startswith("eyJ") and len(parts[k + 1]) >= 5 and len(parts[k + 2]) >= 16 and is_signed_token([parts[k][head:], parts[k + 1]]):
+                found.append(("jwt", starts[k] + head, starts[k + 2] + len(parts[k + 2])))
+                k += 2
+            k += 1
+    return found
+
+
 def _key_kind(data: bytes) -> str | None:
     return "der" if is_der_key(data) else "sshkey" if len(data) >= MIN_BYTES and is_ssh_key(data) else None
 
@@ -147,19 +233,17 @@ def pem_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the bodies of PEM keys, without the gaps around them."""
     found = []
     for m in PEM.finditer(text):
-        body = m[1].replace("\\/", "/")
-        data = _decoded(GAP.sub("", body))
-        if data and (kind := _key_kind(data)):
-            lead, tail = GAP.match(m[1]), re.search(rf"{GAP.pattern}\Z", m[1])
-            found.append((kind, m.start(1) + (lead.end() if lead else 0), m.start(1) + (tail.start() if tail else len(m[1]))))
+        parts = [(p[2], p.start(2), p.end(2)) for p in PEM_PARTS.finditer(m[1]) if p[1] is None]
+        if parts and all(p for p, _, _ in parts) and (data := _decoded("".join(p for p, _, _ in parts))) and (kind := _key_kind(data)):
+            found.append((kind, m.start(1) + parts[0][1], m.start(1) + parts[-1][2]))
     return found
 
 
 def wrapped_der(text: str, at: int) -> int | None:
     """End of the base64 of a DER key that starts at ``at``, over as many lines as its length asks for; None if there is none."""
-    head = base64.b64decode(text[at : at + 8])
+    head = base64.b64decode(text[at : at + 16])
     width = head[1] & 0x7F if head[1] & 0x80 else 0
-    if width > 4:
+    if width > 4 or head[2 + width] not in (0x02, 0x30):
         return None
     size = 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])
     want, pad = -(-size * 4 // 3), -size % 3
@@ -186,13 +270,19 @@ def wrapped_der(text: str, at: int) -> int | None:
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the structural kinds."""
     found = []
-    if "eyJ" in text:
-        found += [("jwt", m.start(), m.end()) for m in JWT.finditer(text) if is_signed_token(m[0])]
+    if ".eyJ" in text:
+        found += token_spans(text)
     keys = pem_spans(text) if "-----BEGIN " in text else []
-    inside = lambda a, b: any(x < b and a < y for _, x, y in keys)
+    taken = [(a, b) for _, a, b in keys]  # in order, apart from one another
+
+    def inside(a: int, b: int) -> bool:
+        at = bisect.bisect_left(taken, (b, 0))
+        return at > 0 and taken[at - 1][1] > a
+
     for m in DER_START.finditer(text):
         if not inside(m.start(), m.end()) and (end := wrapped_der(text, m.start())):
             keys.append(("der", m.start(), end))
+            bisect.insort(taken, (m.start(), end))
     if any(s in text for s in BASE64_STARTS):
         for m in BASE64.finditer(text):
             if m[0].startswith(BASE64_STARTS) and not inside(m.start(), m.end()):
