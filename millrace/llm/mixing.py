@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import WORD, Stage, table
@@ -29,23 +29,32 @@ SEED = "mix-1"
 CELL = 3
 
 
+def _draw(doc_id: Column, seed: str) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("long").cast("string"), F.lit(""))).cast("binary"))
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
 def word_counts(docs: DataFrame, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.col(source_col).cast("string").alias("source"),
-        F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-    ).withColumn("draw", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), _words(F.col(text_col)).alias("size")).withColumn("draw", _draw(F.col("doc_id"), seed))
 
 
-def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def source_targets(sizes: DataFrame, stage: Stage, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(source, source_size, weight, target): ``sizes`` has columns source and size.
 
-    Sources in code point order (null last) take the weights in turn. The one ordered window runs over one row
-    per source; a source is a name in the mixing recipe, so this table is as long as the recipe.
+    Sources in code point order (null last) take the weights in turn. They are numbered by ranges, a range in a
+    task; only the number of sources of each range meets in one place. Sums alone come to the driver.
     """
-    listed = Window.orderBy(F.col("source").asc_nulls_last())
+    named = (F.col("source").isNull(), F.col("source"))
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    per = per.withColumn("weight", F.element_at(F.array(*[F.lit(int(w)) for w in weights]), ((F.row_number().over(listed) - 1) % len(weights) + 1).cast("int")).cast("long"))
+    per = stage.keep(per.repartitionByRange(*named).withColumn("range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    offsets = per.groupBy("range").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("range", "before")
+    nth = F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy(*named)) - 1
+    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (nth % len(weights) + 1).cast("int")).cast("long")
+    per = stage.keep(per.join(offsets, "range").select("source", "source_size", weight.alias("weight")), "weights")
     cap = F.col("source_size") * max_epochs
     total = per.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     spare, open_weight, clamped = total, None, -1
@@ -63,50 +72,72 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_epoch
     return per.withColumn("target", F.when(over, cap.cast("double")).otherwise(share))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, repeats.
+def _same_source(a: str, b: str) -> Column:
+    return F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
 
-    ``size`` counts maximal runs without ASCII white space (null and empty texts: 0 words; they take 0 words
-    and are repeated as often as their source goes round whole). ``taken`` is the number of words the mix takes
-    of the document, repetitions counted, at most ``max_epochs * size``. ``repeats`` rounds it to whole copies
-    for a mix that can't cut documents. The same seed gives the same mix whatever the partitioning. Rows that
-    repeat an id draw the same hash; at a border they are ordered by size, and equal ones by chance of their
-    order, which doesn't change the result as a set. A null source is a source of its own (listed last); null ids share
-    one draw. Input columns other than the three named are not read. An empty table gives an empty result.
-    """
-    stage = Stage(docs.sparkSession, "mix")
-    sizes = stage.keep(word_counts(docs, seed, id_col, text_col, source_col), "sizes")
-    targets = stage.keep(source_targets(sizes, weights, max_epochs), "targets")
-    same_source = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
 
+def rules(sizes: DataFrame, stage: Stage, weights: Sequence[int], max_epochs: int) -> DataFrame:
+    """A row for each source: source_size, target, ``whole`` rounds, ``border`` (hash prefix up to which documents are taken once more) and ``border_words`` (left for that prefix)."""
+    targets = stage.keep(source_targets(sizes, stage, weights, max_epochs), "targets")
     # quota = whole rounds of the source + words left for further repetitions
     quota = targets.withColumn("quota", F.floor(F.col("target") + 0.5).cast("long")).select(
         "source", "source_size", "target",
         F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(F.lit(0)).alias("whole"),
         F.when(F.col("source_size") > 0, F.expr("quota % source_size")).otherwise(F.lit(0)).alias("left"),
-    )
+    )
     cells = sizes.groupBy("source", F.substring("draw", 1, CELL).alias("cell")).agg(F.sum("size").alias("words"))
-    level1 = _border(cells.alias("c").join(quota.alias("q"), same_source("c", "q")).select("c.source", "c.cell", "c.words", "q.left"))
+    level1 = _border(cells.alias("c").join(quota.alias("q"), _same_source("c", "q")).select("c.source", "c.cell", "c.words", "q.left"))
     fine = (
-        sizes.alias("s").join(level1.alias("b"), same_source("s", "b") & F.col("s.draw").startswith(F.col("b.cell")))
+        sizes.alias("s").join(level1.alias("b"), _same_source("s", "b") & F.col("s.draw").startswith(F.col("b.cell")))
         .groupBy("s.source", F.substring("s.draw", 1, 2 * CELL).alias("cell")).agg(F.sum("s.size").alias("words"), F.first("b.left").alias("left"))
-    )
+    )
     level2 = stage.keep(_border(fine), "border")
-    # level2: per source the prefix in which the border lies and the words left for that prefix
-    ruled = quota.alias("q").join(level2.alias("b"), same_source("q", "b"), "left").select("q.*", F.col("b.cell").alias("border"), F.col("b.left").alias("border_words"))
-    ruled = stage.keep(ruled, "rule")
+    ruled = quota.alias("q").join(level2.alias("b"), _same_source("q", "b"), "left").select("q.*", F.col("b.cell").alias("border"), F.col("b.left").alias("border_words"))
+    return stage.keep(ruled, "rule")
+
+
+def _split(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose draw tells what is taken of them, with ``more`` (once more or not), and rows at the border, with the words of it ``before`` each.
+
+    The border is a cell of a cell, so only few rows are put in order.
+    """
     prefix = F.substring("draw", 1, 2 * CELL)
-    placed = sizes.alias("s").join(ruled.alias("r"), same_source("s", "r")).select("s.*", "r.source_size", "r.target", "r.whole", "r.border", "r.border_words")
-    plain = placed.where(F.col("border").isNull() | (prefix != F.col("border"))).withColumn("extra", F.when(prefix < F.col("border"), F.col("size")).otherwise(F.lit(0)))
+    plain = placed.where(F.col("border").isNull() | (prefix != F.col("border"))).withColumn("more", F.coalesce(prefix < F.col("border"), F.lit(False)))
     in_order = Window.partitionBy("source").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = placed.where(prefix == F.col("border")).withColumn("before", F.coalesce(F.sum("size").over(in_order), F.lit(0)))
-    edge = edge.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("border_words") - F.col("before")))).drop("before")
-    both = plain.withColumn("extra", F.col("extra").cast("long")).unionByName(edge.withColumn("extra", F.col("extra").cast("long")))
+    edge = placed.where(prefix == F.col("border"))
+    return plain, edge.withColumn("before", F.sum("size").over(in_order))
+
+
+def _extra() -> Column:
+    return F.greatest(F.lit(0), F.least(F.col("size"), F.col("border_words") - F.coalesce("before", F.lit(0)))).cast("long")
+
+
+def _repeats(extra: Column) -> Column:
+    return (F.col("whole") + F.when((extra > 0) & (2 * extra >= F.col("size")), 1).otherwise(0)).cast("int")
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken, repeats.
+
+    ``size`` counts maximal runs without ASCII white space (null and empty texts: 0 words; they take 0 words
+    and are repeated as often as their source goes round whole); texts are counted whole, however long. ``taken`` is the number of words the mix takes
+    of the document, repetitions counted, at most ``max_epochs * size``. ``repeats`` rounds it to whole copies
+    for a mix that can't cut documents. The same seed gives the same mix whatever the partitioning. Rows that
+    repeat an id draw the same hash; at a border they are ordered by size, and equal ones by chance of their
+    order, which doesn't change the result as a set. A null source is a source of its own (listed last); null ids share
+    one draw. Input columns other than the three named are not read. An empty table gives an empty result.
+    """
+    stage = Stage(docs.sparkSession, "mix")
+    sizes = stage.keep(word_counts(docs, seed, id_col, text_col, source_col), "sizes")
+    ruled = rules(sizes, stage, weights, max_epochs)
+    placed = sizes.alias("s").join(ruled.alias("r"), _same_source("s", "r")).select("s.*", "r.source_size", "r.target", "r.whole", "r.border", "r.border_words")
+    plain, edge = _split(placed)
+    both = plain.withColumn("extra", F.when(F.col("more"), F.col("size")).otherwise(F.lit(0)).cast("long")).drop("more").unionByName(edge.withColumn("extra", _extra()).drop("before"))
     return both.select(
         "doc_id", "source", "size", "source_size", "target",
         (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"),
-        (F.col("whole") + F.when((F.col("extra") > 0) & (2 * F.col("extra") >= F.col("size")), 1).otherwise(0)).cast("int").alias("repeats"),
-    )
+        _repeats(F.col("extra")).alias("repeats"),
+    )
 
 
 def _border(cells: DataFrame) -> DataFrame:
@@ -119,15 +150,23 @@ def _border(cells: DataFrame) -> DataFrame:
     return run.where("before < left AND left <= before + words").select("source", "cell", (F.col("left") - F.col("before")).alias("left"))
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as mixed: every row as often as ``repeats`` says, with its own columns unchanged.
+def mixed_rows(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` as mixed: every row as often as ``repeats`` of ``mix`` says, with its own columns unchanged, whatever their names.
 
-    Rows that repeat an id are met by their id, so equal ids must have equal sizes to get their own number.
+    Each row is judged by its own draw and size where it stands, so rows that repeat an id or have none get their own
+    number, and texts are not shuffled but for the few at a border. Rows without words are repeated as often as their
+    source goes round whole. An empty table stays empty.
     """
-    id_col = options.get("id_col", "doc_id")
-    plan = mix(docs, **options).groupBy("doc_id").agg(F.max("repeats").alias("__repeats")).withColumnRenamed("doc_id", "__id").where("__repeats > 0")
-    met = docs.join(plan, F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
-    return met.select("*", F.explode(F.sequence(F.lit(1), F.col("__repeats"))).alias("__nth")).select(*docs.columns)
+    stage = Stage(docs.sparkSession, "mix")
+    ruled = rules(stage.keep(word_counts(docs, seed, id_col, text_col, source_col), "sizes"), stage, weights, max_epochs)
+    own = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), _draw(F.col(id_col), seed).alias("draw"))
+    placed = own.alias("s").join(ruled.alias("r"), _same_source("s", "r")).select("s.*", "r.whole", "r.border", "r.border_words")
+    # any word at all: the size of these is not needed
+    plain, edge = _split(placed.withColumn("size", F.when(F.col("border") == F.substring("draw", 1, 2 * CELL), _words(F.col("text")))))
+    plain = plain.select("row", (F.col("whole") + (F.col("more") & F.coalesce(F.col("text").rlike(WORD), F.lit(False))).cast("int")).cast("int").alias("repeats"))
+    edge = edge.select("row", _repeats(_extra()).alias("repeats"))
+    counted = plain.unionByName(edge).where("repeats > 0")
+    return counted.select("row", F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("nth")).select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,18 +56,25 @@ def place(df: DataFrame, key_col: str = "doc_id", shards: Sequence[str] = SHARDS
     """``df`` with the columns ``slot`` (int) and ``shard`` (name) at its end.
 
     Rows with equal keys, null included, share a shard; every row stays, repeated ones too. Input columns that
-    have the names of the two new columns are replaced. Texts are not read. An empty table stays empty.
-    The broadcast table has ``size`` rows of two values, whatever the data.
+    have the names of the two new columns are replaced; other names do no harm. Empty and very long texts make no
+    difference, as only the key is looked at. An empty table stays empty. The broadcast table has ``size`` rows of
+    two values, whatever the data.
     """
-    owners = df.sparkSession.createDataFrame([(s, shards[i]) for s, i in enumerate(lookup_table(shards, size))], "__slot int, __shard string")
-    base = df.drop(slot_col, shard_col)
-    placed = base.withColumn("__at", slot(F.col(key_col), size)).join(F.broadcast(owners), F.col("__at") == F.col("__slot"))
-    return placed.select(*base.columns, F.col("__at").alias(slot_col), F.col("__shard").alias(shard_col))
+    owners = df.sparkSession.createDataFrame([(s, shards[i]) for s, i in enumerate(lookup_table(shards, size))], "slot int, shard string")
+    key = slot(F.col(key_col), size).alias("at")
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in (slot_col, shard_col)]
+    placed = df.select(F.struct(*kept).alias("row"), key).join(F.broadcast(owners), F.col("at") == F.col("slot"))
+    return placed.select("row.*", F.col("at").alias(slot_col), F.col("shard").alias(shard_col))
 
 
-def write_shards(df: DataFrame, path: str, key_col: str = "doc_id", shards: Sequence[str] = SHARDS, size: int = TABLE_SIZE) -> None:
-    """Write one folder per shard. Rows go from each task straight to its folders; nothing is shuffled."""
-    place(df, key_col, shards, size).drop("slot").write.partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, path: str, key_col: str = "doc_id", shards: Sequence[str] = SHARDS, size: int = TABLE_SIZE, files: int = 1) -> None:
+    """Write one folder per shard with about ``files`` files each, so that the number of files doesn't grow with the number of tasks.
+
+    Rows are dealt by shard and a hash of their key; rows that share a key lie in one file. Empty tables write nothing.
+    """
+    placed = place(df, key_col, shards, size).drop("slot")
+    part = F.pmod(F.xxhash64(F.col(key_col)), F.lit(files))
+    placed.repartition(len(shards) * files, "shard", part).write.partitionBy("shard").parquet(path)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
