@@ -3,7 +3,8 @@
 P(grade <= k) = 1 / (1 + exp(w.x - t_k)) with one weight vector w for all grades and thresholds t_0 < t_1 < ...
 Features are hashed byte n-grams of the text as it is (case and punctuation kept) and a few hashed shape tokens
 (length, share of distinct words, of letters, of capitals). The model is fitted in numpy on a bounded sample of
-graded documents (``PER_GRADE`` of each grade); the thresholds stay ordered because their gaps are exponentials.
+graded documents (``PER_GRADE`` of each grade, ``SAMPLE`` together); every value that a rating has is a grade, whole
+number or not. The thresholds stay ordered because their gaps are exponentials.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ ORDERS = (2, 3)
 BUCKETS = 1 << 12
 #: Shape tokens: this many kinds, each in this many steps.
 SHAPES, STEPS = 5, 16
-#: Bounds of the training sample: documents of each grade, and grades.
-PER_GRADE = 600
-MAX_GRADES = 20
+#: Bounds of the training sample: documents of a grade, documents of all grades together, and documents that every
+#: grade has at least, however many grades there are.
+PER_GRADE, SAMPLE, LEAST = 600, 6000, 10
 
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -37,7 +38,7 @@ _LETTER[128:] = True
 
 @dataclass
 class QualityModel:
-    grades: list[int]
+    grades: list[float]
     weights: np.ndarray
     thresholds: np.ndarray  # one fewer than grades, increasing
 
@@ -76,7 +77,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.hstack((grams, shape)).astype(np.float32)
 
 
-def train(x: np.ndarray, y: np.ndarray, grades: list[int], epochs: int = 40, seed: int = 3, ridge: float = 1e-5) -> QualityModel:
+def train(x: np.ndarray, y: np.ndarray, grades: list[float], epochs: int = 40, seed: int = 3, ridge: float = 1e-5) -> QualityModel:
     """Fit by scaled stochastic gradient steps on the likelihood of grade numbers ``y`` (0 .. grades - 1), grades weighted equally."""
     k = len(grades)
     if k < 2:
@@ -116,17 +117,19 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(x)), batch.column(1).slice(at, len(x)), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["doc_id", "grade", "x"])
 
 
-def fit(docs: DataFrame, ratings: DataFrame, grade_col: str = "quality", per_grade: int = PER_GRADE) -> QualityModel | None:
-    """Model from graded documents outside the held-out fold, at most ``per_grade`` of each grade; None if there are none.
+def fit(docs: DataFrame, ratings: DataFrame, grade_col: str = "quality", per_grade: int = PER_GRADE, sample: int = SAMPLE) -> QualityModel | None:
+    """Model from graded documents outside the held-out fold; None if there are none.
 
-    Of several ratings of a document the highest counts.
+    Of every grade at most ``per_grade`` documents are used, and no more than its share of ``sample`` (but
+    ``LEAST``), picked by a hash of their ids. Null ids and ratings that are null or no number are left out. Of
+    several ratings of a document the highest counts; rows of ``docs`` that repeat an id are learned from each.
     """
-    known = ratings.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(grade_col).cast("int").alias("grade")).where(F.col("doc_id").isNotNull() & F.col("grade").isNotNull() & ~held_out(F.col("doc_id")))
+    known = ratings.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(grade_col).cast("double").alias("grade")).where(F.col("doc_id").isNotNull() & F.col("grade").isNotNull() & ~F.isnan("grade") & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("grade").alias("grade"))
-    common = F.broadcast(known.groupBy("grade").count().orderBy(F.desc("count"), "grade").limit(MAX_GRADES).select("grade"))
-    picked = sample_per_class(known.join(common, "grade"), "grade", per_grade).select("doc_id", "grade")
+    per_grade = max(LEAST, min(per_grade, sample // max(1, known.select("grade").distinct().count())))
+    picked = sample_per_class(known, "grade", per_grade).select("doc_id", "grade")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "grade", "text").mapInArrow(_sample, "doc_id long, grade int, x binary").toArrow().sort_by("doc_id")
+    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "grade", "text").mapInArrow(_sample, "doc_id long, grade double, x binary").toArrow().sort_by("doc_id")
     if not rows.num_rows:
         return None
     grades = sorted(set(rows["grade"].to_pylist()))
@@ -153,9 +156,10 @@ def _predict(batches: Iterator[pa.RecordBatch], model: QualityModel | None) -> I
 def grade(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, expected_grade, tail (probability of the upper half of the grades), selected (tail >= 0.5).
 
-    Only the text decides, all of it; null counts as empty, and empty texts are graded by their shape. Without a
-    model (no ratings) grade and tail are null and nothing is selected. With one grade only, every text has it.
-    Repeated rows are graded each; null ids stay null; other columns are not read. One map over the rows.
+    Only the text decides, all of it, however long; null counts as empty, and empty texts are graded by their shape.
+    Without a model (no ratings) grade and tail are null and nothing is selected. With one grade only, every text has it.
+    Repeated rows are graded each; null ids stay null; other columns are not read. An empty table gives an empty
+    result. One map over the rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
