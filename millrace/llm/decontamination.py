@@ -1,28 +1,31 @@
 """Benchmark decontamination by latent semantic retrieval and a subsequence check.
 
-1. Words are lower-cased runs of letters and digits. The vocabulary is the benchmark's: other words add nothing
-   to an inner product with a benchmark passage.
+1. Words are lower-cased runs of letters and digits. The vocabulary is the whole benchmark's: other words add
+   nothing to an inner product with a benchmark passage.
 2. A first pass over all documents counts in how many passages (windows of ``WINDOW`` words) each term occurs.
 3. A second pass multiplies the TF-IDF passage matrix X of all documents with a random matrix: X'(X R), summed
    by Spark. From that the driver gets the leading right singular vectors and values of X (the one-pass
    randomised decomposition of a positive matrix); its inputs are as large as the vocabulary, not the corpus.
-4. A third pass takes as candidates all stretches of a document that hold enough of an item's rarer words. What
-   is enough follows from step 5 (n - t + k of an item's n words hold at least k of any t), so that no match that
-   step 5 would confirm is lost; a cosine has no such bound and drops nothing.
+4. A third pass searches for candidates. Stretches of a document that hold enough of an item's rarer words are held
+   against the item in the latent space (half whitened: divided by the roots of the singular values): a stretch with
+   a passage whose cosine to a chunk of the item is ``COSINE`` or more is a candidate. As a cosine is no bound for
+   step 5, stretches below it that share as many words with the item as step 5 asks for are candidates too. What
+   is enough of the rarer words also follows from step 5 (n - t + k of an item's n words hold at least k of any
+   t), so no match that step 5 would confirm is lost.
 5. A candidate is confirmed in place: the longest common subsequence of the item's words and the document's
    words around the match must cover ``LCS`` of the item, or ``LCS_WITH_ANSWER`` of it if the item's answer is
    there too. Every stretch as long as the item and its slack on both sides is tried. Of items of more than
    ``PASSAGE`` words, ``LCS`` of any passage of so many words (one every ``PASSAGE_STEP`` words) is enough.
-6. Each match gets the cosine of its passages and the item's chunks in the latent space (half whitened: divided
-   by the roots of the singular values).
 
-The benchmark is worked off in blocks of at most ``BLOCK`` items, so what is sent to the tasks is bounded.
+The first two passes are made once for the whole benchmark; the third sends items to the tasks in blocks of at
+most ``BLOCK``, one pass for each, so what is sent is bounded and a match doesn't depend on the other items.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,6 +54,8 @@ LCS_WITH_ANSWER = 0.5
 PASSAGE, PASSAGE_STEP = 40, 8
 #: Benchmark items in one block.
 BLOCK = 2000
+#: Least cosine of a candidate, and pairs of passages and chunks whose cosines are taken at once.
+COSINE, PAIRS = 0.5, 1 << 16
 
 _WORD_BYTES = np.full(256, 32, np.uint8)
 for _b in [*range(48, 58), *range(97, 123), *range(128, 256)]:
@@ -74,23 +79,25 @@ class Item:
 _LOW = np.uint64((1 << 20) - 1)
 
 
-@dataclass
-class Benchmark:
-    items: list[Item]
-    vocabulary: np.ndarray  # sorted word hashes
+class Vocabulary:
+    """Sorted word hashes."""
 
-    def __post_init__(self):
+    def __init__(self, words: np.ndarray):
+        self.words = words
         self.seen = np.zeros(1 << 20, bool)
-        self.seen[(self.vocabulary & _LOW).astype(np.int64)] = True
+        self.seen[(words & _LOW).astype(np.int64)] = True
+
+    def __len__(self) -> int:
+        return len(self.words)
 
     def terms(self, hashed: np.ndarray) -> np.ndarray:
         """Position of each word in the vocabulary, or -1."""
-        if not len(self.vocabulary):
-            return np.full(len(hashed), -1)
         out = np.full(len(hashed), -1)
+        if not len(self.words):
+            return out
         may = np.flatnonzero(self.seen[(hashed & _LOW).astype(np.int64)])
-        spot = np.minimum(np.searchsorted(self.vocabulary, hashed[may]), len(self.vocabulary) - 1)
-        same = self.vocabulary[spot] == hashed[may]
+        spot = np.minimum(np.searchsorted(self.words, hashed[may]), len(self.words) - 1)
+        same = self.words[spot] == hashed[may]
         out[may[same]] = spot[same]
         return out
 
@@ -99,7 +106,7 @@ def _words_of(text: str) -> list[int]:
     return [int(h) for _, hashed, _ in word_chunks(pa.array([text])) for h in hashed]
 
 
-def read_benchmark(rows: list) -> Benchmark:
+def read_items(rows: list) -> list[Item]:
     """Items of collected rows (item_id, text, answer). Without an answer, the last sentence stands for it, or the last five words if it is short."""
     items = []
     for item_id, text, answer in rows:
@@ -109,17 +116,26 @@ def read_benchmark(rows: list) -> Benchmark:
         last = [s for s in (text or "").replace("!", ".").replace("?", ".").split(".") if s.strip()][-1:]
         own = _words_of(answer if answer else last[0] if last else "")
         items.append(Item(item_id, words, own if answer or len(own) >= 3 else words[-5:]))
-    return Benchmark(items, np.unique(np.array([w for i in items for w in i.words], np.uint64)))
+    return items
+
+
+def words_of_items(items: list[Item]) -> np.ndarray:
+    return np.unique(np.array([w for i in items for w in i.words], np.uint64))
 
 
-def passages(term: np.ndarray, bounds: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of WINDOW words inside each text, every ``stride`` words: starts, lengths, texts. A text's last window is moved back to be full; short texts are one window."""
-    sizes = np.diff(bounds)
+def windows(begin: np.ndarray, end: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of WINDOW words inside each range of words, every ``stride`` words: starts, lengths, ranges. A range's last window is moved back to be full; short ranges are one window."""
+    sizes = end - begin
     count = np.where(sizes > WINDOW, -(-(sizes - WINDOW) // stride) + 1, (sizes > 0).astype(np.int64))
-    text = np.repeat(np.arange(len(sizes)), count)
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    start = bounds[:-1][text] + np.minimum(nth * stride, np.maximum(sizes[text] - WINDOW, 0))
-    return start, np.minimum(sizes[text], WINDOW), text
+    own = np.repeat(np.arange(len(sizes)), count)
+    nth = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+    start = begin[own] + np.minimum(nth * stride, np.maximum(sizes[own] - WINDOW, 0))
+    return start, np.minimum(sizes[own], WINDOW), own
+
+
+def passages(bounds: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of whole texts."""
+    return windows(bounds[:-1], bounds[1:], stride)
 
 
 def window_terms(term: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -132,39 +148,39 @@ def window_terms(term: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.
 def weighted(rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """TF-IDF weight of every place of the windows, rows of length one. Repeats of a term add up."""
     value = np.where(rows >= 0, idf[np.maximum(rows, 0)], 0.0)
-    same = (rows[:, :, None] == rows[:, None, :]) & (rows >= 0)[:, :, None] if len(rows) <= 4096 else None
-    norm = np.sqrt(np.einsum("ij,ijk,ik->i", value, same, value)) if same is not None else np.sqrt((value**2).sum(1))
+    same = (rows[:, :, None] == rows[:, None, :]) & (rows >= 0)[:, :, None]
+    norm = np.sqrt(np.einsum("ij,ijk,ik->i", value, same, value))
     return value / np.maximum(norm, 1e-9)[:, None]
 
 
-def _count(batches: Iterator[pa.RecordBatch], bench: Benchmark) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], known: Vocabulary) -> Iterator[pa.RecordBatch]:
     """Passages in which each term occurs (term -1: passages), summed over the task."""
-    size = len(bench.vocabulary)
+    size = len(known)
     total = np.zeros(size + 1, np.int64)
     for batch in batches:
         for _, hashed, bounds in word_chunks(batch.column(0)):
-            term = bench.terms(hashed)
-            start, _, _ = passages(term, bounds, WINDOW)
+            term = known.terms(hashed)
+            start, _, _ = passages(bounds, WINDOW)
             total[size] += len(start)
-            known = np.flatnonzero(term >= 0)
+            met = np.flatnonzero(term >= 0)
             # windows start every WINDOW words of a text; the moved last one is counted where its words begin
-            text = np.searchsorted(bounds, known, "right") - 1
-            window = (known - bounds[text]) // WINDOW
-            keyed = np.unique((text * (int(np.diff(bounds).max(initial=0)) // WINDOW + 2) + window) * size + term[known]) % size if len(known) else known
+            text = np.searchsorted(bounds, met, "right") - 1
+            window = (met - bounds[text]) // WINDOW
+            keyed = np.unique((text * (int(np.diff(bounds).max(initial=0)) // WINDOW + 2) + window) * size + term[met]) % size if len(met) else met
             total[:size] += np.bincount(keyed, minlength=size)
     spots = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(np.where(spots == size, -1, spots).astype(np.int32)), pa.array(total[spots])], ["term", "n"])
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], bench: Benchmark, idf: np.ndarray, random: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], known: Vocabulary, idf: np.ndarray, random: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The task's part of X'(X R): a row for each term, a column for each random direction."""
     size, wide = random.shape
     total = np.zeros((size, wide))
     random = random.astype(np.float32)
     for batch in batches:
         for _, hashed, bounds in word_chunks(batch.column(0)):
-            term = bench.terms(hashed)
-            start, length, _ = passages(term, bounds, WINDOW)
+            term = known.terms(hashed)
+            start, length, _ = passages(bounds, WINDOW)
             for at in range(0, len(start), 4096):
                 rows = window_terms(term, start[at : at + 4096], length[at : at + 4096])
                 value = weighted(rows, idf)
@@ -216,27 +232,47 @@ class Group:
 
 
 @dataclass
-class Index:
-    bench: Benchmark
+class Latent:
+    """What the passes over all documents give: the weights of terms and their place in the latent space."""
+
+    known: Vocabulary
     idf: np.ndarray
-    mapping: np.ndarray  # vocabulary x latent directions
-    chunks: np.ndarray  # chunks x latent directions, rows of length one
-    chunk_item: np.ndarray  # ascending
-    units: list[Unit]
-    groups: list[Group]
+    mapping: np.ndarray  # vocabulary x latent directions; the last row is zero and stands for -1
 
-    def latent(self, rows: np.ndarray) -> np.ndarray:
+    def vectors(self, rows: np.ndarray) -> np.ndarray:
         """Latent vectors of windows of terms, of length one (or zero)."""
         out = np.zeros((len(rows), self.mapping.shape[1]), np.float32)
         for k in range(WINDOW):
-            out += self.mapping[rows[:, k]]  # the last row of the mapping is zero and stands for -1
+            out += self.mapping[rows[:, k]]
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
-    def cosine(self, item: int, term: np.ndarray) -> float:
-        """The best cosine of a passage of ``term`` and a chunk of the item."""
-        start, length, _ = passages(term, np.array([0, len(term)]), STRIDE)
-        lo, hi = np.searchsorted(self.chunk_item, [item, item + 1])
-        return float((self.latent(window_terms(term, start, length)) @ self.chunks[lo:hi].T).max())
+
+@dataclass
+class Index:
+    """A block of items, ready to be searched."""
+
+    latent: Latent
+    items: list[Item]
+    chunks: np.ndarray  # chunks x latent directions, rows of length one
+    begin: np.ndarray  # items + 1: the first chunk of each
+    units: list[Unit]
+    groups: list[Group]
+
+    def cosines(self, item: np.ndarray, start: np.ndarray, end: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """For each stretch of words the best cosine of a passage of it and a chunk of its item."""
+        at, length, own = windows(start, end, STRIDE)
+        best = np.zeros(len(item), np.float32)
+        vector = self.latent.vectors(window_terms(term, at, length))
+        count = (self.begin[item + 1] - self.begin[item])[own]
+        upto = np.cumsum(count)
+        lo = 0
+        while lo < len(own):  # so many windows at once that their pairs with chunks stay bounded
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PAIRS, "right")))
+            window = np.repeat(np.arange(lo, hi), count[lo:hi])
+            chunk = self.begin[item[own[window]]] + np.arange(len(window)) - np.repeat(upto[lo:hi] - count[lo:hi] - (upto[lo - 1] if lo else 0), count[lo:hi])
+            np.maximum.at(best, own[window], np.einsum("ij,ij->i", vector[window], self.chunks[chunk]))
+            lo = hi
+        return best
 
 
 def slack(size: int) -> int:
@@ -244,24 +280,24 @@ def slack(size: int) -> int:
     return max(STRIDE, size // 4) if size >= 5 else size // 2
 
 
-def units_of(bench: Benchmark) -> list[Unit]:
+def units_of(items: list[Item]) -> list[Unit]:
     out = []
-    for i, item in enumerate(bench.items):
+    for i, item in enumerate(items):
         n = len(item.words)
         out.append(Unit(i, item.words, item.answer, n + 2 * slack(n), math.ceil(LCS_WITH_ANSWER * n - 1e-9)))
-    for i, item in enumerate(bench.items):
+    for i, item in enumerate(items):
         if (last := len(item.words) - PASSAGE) > 0:
             for at in sorted({*range(0, last + 1, PASSAGE_STEP), last}):
                 out.append(Unit(i, item.words[at : at + PASSAGE], None, PASSAGE + 2 * slack(PASSAGE), math.ceil(LCS * PASSAGE - 1e-9)))
     return out
 
 
-def group_units(bench: Benchmark, units: list[Unit], idf: np.ndarray) -> list[Group]:
+def group_units(units: list[Unit], known: Vocabulary, idf: np.ndarray) -> list[Group]:
     groups = []
     for first in range(0, len(units), GROUP):
         pairs, asked = [], []
         for u, unit in enumerate(units[first : first + GROUP]):
-            n, term = len(unit.words), bench.terms(np.array(unit.words, np.uint64))
+            n, term = len(unit.words), known.terms(np.array(unit.words, np.uint64))
             terms, times = np.unique(term, return_counts=True)
             order = np.argsort(-idf[terms], kind="stable")
             held = np.cumsum(times[order])
@@ -273,22 +309,17 @@ def group_units(bench: Benchmark, units: list[Unit], idf: np.ndarray) -> list[Gr
     return groups
 
 
-def build_index(bench: Benchmark, idf: np.ndarray, vectors: np.ndarray, values: np.ndarray) -> Index:
-    keep = values > 1e-6 * max(values.max(initial=0), 1e-300)
-    mapping = (idf[:, None] * vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
-    mapping = np.vstack((mapping, np.zeros((1, mapping.shape[1]), np.float32)))
-    rows, item_of = [], []
-    for i, item in enumerate(bench.items):
-        term = bench.terms(np.array(item.words, np.uint64))
+def build_index(items: list[Item], latent: Latent) -> Index:
+    rows, begin = [], [0]
+    for item in items:
+        term = latent.known.terms(np.array(item.words, np.uint64))
         last = max(len(term) - WINDOW, 0)
         for at in sorted({*range(0, last + 1, CHUNK_STEP), last}):
             piece = term[at : at + WINDOW]
             rows.append(np.concatenate((piece, np.full(WINDOW - len(piece), -1))))
-            item_of.append(i)
-    units = units_of(bench)
-    index = Index(bench, idf, mapping, np.zeros((0, mapping.shape[1]), np.float32), np.array(item_of), units, group_units(bench, units, idf))
-    index.chunks = index.latent(np.array(rows))
-    return index
+        begin.append(len(rows))
+    units = units_of(items)
+    return Index(latent, items, latent.vectors(np.array(rows)), np.array(begin), units, group_units(units, latent.known, latent.idf))
 
 
 def common_subsequence(masks: dict[int, int], size: int, words: list[int]) -> int:
@@ -372,107 +403,137 @@ def confirm(unit: Unit, masks: dict[int, int], answer: dict[int, int], words: li
     return common / n, lo, b
 
 
-def find(column: pa.Array, index: Index) -> list[tuple[int, int, float, float, int, int]]:
-    """(row, item_id, lcs, cosine, start word, end word) of every confirmed match in a text column."""
-    bench = index.bench
+def shared_words(unit: Counter, words: list[int]) -> int:
+    """Words in common, repeats counted: no common subsequence is longer."""
+    return sum(min(n, unit[w]) for w, n in Counter(words).items() if w in unit)
+
+
+def find(column: pa.Array, index: Index, once: bool = False) -> list[tuple[int, int, float, float, str, int, int]]:
+    """(row, item_id, lcs, cosine, by, start word, end word) of every confirmed match in a text column; with ``once``, of one match in each row at least.
+
+    ``by`` tells what made it a candidate: the cosine, or else the words in common.
+    """
     masks = [_masks(u.words) for u in index.units]
     answers = [_masks(u.answer or []) for u in index.units]
-    found: list[tuple[int, int, float, float, int, int]] = []
+    counts = [Counter(u.words) for u in index.units]
+    item_of = np.array([u.item for u in index.units], np.int64)
+    found: list[tuple[int, int, float, float, str, int, int]] = []
     for first, hashed, bounds in word_chunks(column):
-        term = bench.terms(hashed)
+        term = index.latent.known.terms(hashed)
         whole: set[tuple[int, int]] = set()
         for group in index.groups:
-            for u, text, start, end in stretches(term, bounds, group):
+            may = list(stretches(term, bounds, group))
+            if not may:
+                continue
+            places = np.array(may, np.int64)
+            cosine = index.cosines(item_of[places[:, 0]], places[:, 2], places[:, 3], term)
+            for (u, text, start, end), near in zip(may, cosine.tolist(), strict=True):
                 unit = index.units[u]
-                if (unit.item, text) in whole:  # found with all its words
+                if (0 if once else unit.item, text) in whole:  # found already, with all its words
                     continue
-                if match := confirm(unit, masks[u], answers[u], hashed[start:end].tolist()):
+                words = hashed[start:end].tolist()
+                if near < COSINE and shared_words(counts[u], words) < unit.need:
+                    continue
+                if match := confirm(unit, masks[u], answers[u], words):
                     ratio, a, b = match
-                    if ratio == 1:
-                        whole.add((unit.item, text))
+                    if once or ratio == 1:
+                        whole.add((0 if once else unit.item, text))
                     lo = int(bounds[text])
-                    found.append((first + text, bench.items[unit.item].item_id, ratio, index.cosine(unit.item, term[start + a : start + b]), start + a - lo, start + b - lo))
+                    found.append((first + text, index.items[unit.item].item_id, ratio, near, "cosine" if near >= COSINE else "words", start + a - lo, start + b - lo))
     return found
 
 
 def _search(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = find(batch.column(1), index)
-        rows = [f[0] for f in found]
+        kinds = (pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array([f[k] for f in found], t) for k, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.float64()), (4, pa.int64()), (5, pa.int64())))],
-            ["doc_id", "item_id", "lcs", "cosine", "start_word", "end_word"],
+            [batch.column(0).take(pa.array([f[0] for f in found], pa.int64())), *(pa.array([f[k] for f in found], t) for k, t in enumerate(kinds, 1))],
+            ["doc_id", "item_id", "lcs", "cosine", "by", "start_word", "end_word"],
         )
 
 
 def _clean(batches: Iterator[pa.RecordBatch], index: Index, at: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = np.ones(batch.num_rows, bool)
-        keep[[f[0] for f in find(batch.column(at), index)]] = False
+        keep[[f[0] for f in find(batch.column(at), index, once=True)]] = False
         yield batch.filter(pa.array(keep))
 
 
-FOUND = "doc_id long, item_id long, lcs double, cosine double, start_word long, end_word long"
+FOUND = "doc_id long, item_id long, lcs double, cosine double, by string, start_word long, end_word long"
 
 
-def fit(texts: DataFrame, bench: Benchmark, rank: int = RANK, seed: int = 5) -> Index | None:
-    """The latent index of one block of the benchmark over all ``texts`` (one text column); None without common words."""
-    if not bench.items:
-        return None
-    counted = texts.mapInArrow(lambda it: _count(it, bench), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+def fit(texts: DataFrame, known: Vocabulary, rank: int = RANK, seed: int = 5) -> Latent | None:
+    """The latent space of the benchmark's words over all ``texts`` (one text column); None without common words."""
+    counted = texts.mapInArrow(lambda it: _count(it, known), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     counts = dict(zip(counted["term"].to_pylist(), counted["n"].to_pylist(), strict=True))
     total = counts.pop(-1, 0)
     if not counts:
         return None
-    df = np.array([counts.get(t, 0) for t in range(len(bench.vocabulary))])
+    df = np.array([counts.get(t, 0) for t in range(len(known))])
     idf = np.log((1 + total) / (1 + df)) + 1e-3
     random = np.random.default_rng(seed).normal(size=(len(idf), min(rank + OVERSAMPLE, len(idf))))
     wide = random.shape[1]
     schema = "term int, " + ", ".join(f"c{j} double" for j in range(wide))
-    parts = texts.mapInArrow(lambda it: _sketch(it, bench, idf, random), schema).groupBy("term").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(wide))).toArrow()
+    parts = texts.mapInArrow(lambda it: _sketch(it, known, idf, random), schema).groupBy("term").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(wide))).toArrow()
     product = np.zeros_like(random)
     product[parts["term"].to_numpy()] = np.column_stack([parts[f"c{j}"].to_numpy() for j in range(wide)])
-    return build_index(bench, idf, *decompose(product, random, rank))
+    vectors, values = decompose(product, random, rank)
+    keep = values > 1e-6 * max(values.max(initial=0), 1e-300)
+    mapping = (idf[:, None] * vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
+    return Latent(known, idf, np.vstack((mapping, np.zeros((1, mapping.shape[1]), np.float32))))
 
 
-def blocks(benchmark: DataFrame, size: int = BLOCK, answer_col: str | None = None) -> Iterator[Benchmark]:
-    """The benchmark in blocks of about ``size`` items, by a hash of their ids; each is collected on its own."""
+def blocks(benchmark: DataFrame, size: int = BLOCK, answer_col: str | None = None) -> Iterator[list[Item]]:
+    """The benchmark in blocks of about ``size`` items, by a hash of their ids and texts; each is collected on its own."""
     answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"), answer.alias("answer"))
     n = -(-rows.count() // size)
     for b in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        yield read_benchmark(sorted(((r[0], r[1], r[2]) for r in part.collect()), key=str))
+        yield read_items(sorted(((r[0], r[1], r[2]) for r in part.collect()), key=str))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", answer_col: str | None = None) -> DataFrame:
-    """(doc_id, item_id, lcs, cosine, start_word, end_word): one row for each document and benchmark item found in it.
+def indexes(texts: DataFrame, benchmark: DataFrame, size: int = BLOCK, answer_col: str | None = None) -> Iterator[Index]:
+    """The search index of each block: one vocabulary and one latent space for all. The driver holds the benchmark's distinct words and the items of one block."""
+    known = np.zeros(0, np.uint64)
+    for items in blocks(benchmark, size, answer_col):
+        known = np.union1d(known, words_of_items(items))
+    if len(known) and (latent := fit(texts, Vocabulary(known))):
+        yield from (build_index(items, latent) for items in blocks(benchmark, size, answer_col) if items)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", answer_col: str | None = None, block: int = BLOCK) -> DataFrame:
+    """(doc_id, item_id, lcs, cosine, by, start_word, end_word): one row for each document and benchmark item found in it.
 
     All documents and their whole texts are searched. Null and empty texts hold nothing; null and empty items and
     items without a word are never found. Rows that repeat a document id are one document, repeated items one
-    item. Documents or items with a null id are reported with a null id. Other columns are not read. An empty table on
+    item; of several matches the longest counts, of equal ones the one with the higher cosine. Documents or items
+    with a null id are reported with a null id. Other columns are not read. An empty table on
     either side gives an empty result. The place is in words, counted from the text's start. ``lcs`` is the
     share of the item, or of a passage of a long item, whichever is found better.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hits = []
-    for bench in blocks(benchmark, answer_col=answer_col):
-        if index := fit(rows.select("text"), bench):
-            shared = spark.sparkContext.broadcast(index)
-            hits.append(rows.mapInArrow(lambda it, s=shared: _search(it, s.value), FOUND))
+    for index in indexes(rows.select("text"), benchmark, block, answer_col):
+        shared = spark.sparkContext.broadcast(index)
+        hits.append(rows.mapInArrow(lambda it, s=shared: _search(it, s.value), FOUND))
     found = functools.reduce(DataFrame.unionByName, hits) if hits else spark.createDataFrame([], FOUND)
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs", "cosine", "start_word", "end_word")).alias("b"))
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs", "cosine", "by", "start_word", "end_word")).alias("b"))
     return best.select("doc_id", "item_id", "b.*")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows in whose text a benchmark item was found; the rows are filtered where they are searched."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """``docs`` without the rows in whose text a benchmark item was found; the rows are filtered where they are searched.
+
+    Null and empty texts stay, repeated rows stay or go together, ids play no part, and all columns are kept as they
+    are. Without items everything stays; an empty table stays empty.
+    """
     texts, at = docs.select(F.col(text_col).cast("string").alias("text")), docs.columns.index(text_col)
-    for bench in blocks(benchmark):
-        if index := fit(texts, bench):
-            shared = docs.sparkSession.sparkContext.broadcast(index)
-            docs = docs.mapInArrow(lambda it, s=shared: _clean(it, s.value, at), docs.schema)
+    for index in indexes(texts, benchmark, block):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        docs = docs.mapInArrow(lambda it, s=shared: _clean(it, s.value, at), docs.schema)
     return docs
 
 
