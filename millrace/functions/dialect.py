@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
+
+from millrace.plans.view import View
 
 # Type names and their Spark types.
 TYPES = {
@@ -40,3 +43,9 @@ def spark_sql(text: str) -> str:
     out = re.sub(r"\bCurrentUtcTimestamp\s*\(\s*\)", "current_timestamp()", out)
     out = _CAST.sub(lambda m: f"{'try_cast' if m[3] else 'CAST'}({m[1]} AS {spark_type(m[2])})", out)
     return re.sub("\0(\\d+)\0", lambda m: kept[int(m[1])], out)
+
+
+def translated(view: View) -> View:
+    """The view with its expressions, filters and output types in Spark SQL."""
+    parts = [replace(p, columns={c: spark_sql(e) for c, e in p.columns.items()}, where=spark_sql(p.where) if p.where else None) for p in view.parts]
+    return replace(view, parts=parts, types={c: spark_type(t) for c, t in view.types.items()})

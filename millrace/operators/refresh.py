@@ -8,14 +8,15 @@ gives the same result as once.
 from __future__ import annotations
 
 import functools
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.plans.catalog import Catalog
 from millrace.plans.paths import affected_keys
-from millrace.plans.view import MAIN_KEY, PART, Part, View, by_keys, full, main_keys, select
+from millrace.plans.view import MAIN_KEY, PART, STORED, Part, View, by_keys, key_text, quoted, select, used_columns
 
 
 @dataclass(frozen=True)
@@ -42,20 +43,20 @@ def changed_keys(part: Part, catalog: Catalog, changes: list[Change]) -> DataFra
     """
     found = []
     for change in changes:
-        for table, alias in [(part.table, part.alias), *((j.table, j.alias) for j in part.joins)]:
+        for table, alias in part.sources:
             if table == change.table:
                 keys = affected_keys(part, catalog, alias, change.rows)
                 if keys is None:
                     return None
                 found.append(keys)
     if not found:
-        return catalog.table(part.table).select(*catalog.key(part.table)).limit(0)
+        return catalog.table(part.table).select(*quoted(catalog.key(part.table))).limit(0)
     return functools.reduce(DataFrame.unionByName, found).distinct()
 
 
 def replace_keys(stored: DataFrame, fresh: DataFrame, part: str, keys: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Stored rows without those of the keys, and the fresh rows of the keys."""
-    gone = keys.select(main_keys(keys, names).alias("__gone")).distinct()
+    gone = keys.select(key_text(names).alias("__gone")).distinct()
     stays = stored.join(gone, (F.col(PART) == part) & (F.col(MAIN_KEY) == F.col("__gone")), "left_anti")
     return stays.unionByName(fresh)
 
@@ -80,27 +81,31 @@ def apply_changes(view: View, catalog: Catalog, stored: DataFrame, changes: list
 
 def delete_keys(stored: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Stored rows whose key is not among ``keys`` (null parts match null)."""
-    gone = keys.select(*(F.col(c).alias(f"__g_{c}") for c in on)).distinct()
-    met = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__g_{c}")) for c in on])
+    gone = keys.select(*(F.col(f"`{c}`").alias(f"__g{i}") for i, c in enumerate(on))).distinct()
+    met = functools.reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(on)])
     return stored.join(gone, met, "left_anti")
 
 
+def fit_to(rows: DataFrame, target: StructType) -> DataFrame:
+    """``rows`` with the columns of a target in its order, cast to its types; columns that are missing become null, the stored form's columns stay."""
+    here = {c.lower(): c for c in rows.columns}
+    own = [(F.col(f"`{here[f.name.lower()]}`") if f.name.lower() in here else F.lit(None)).cast(f.dataType).alias(f.name) for f in target if f.name not in STORED]
+    return rows.select(*own, *(c for c in STORED if c in rows.columns))
+
+
 def upsert(stored: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:
     """Stored rows with ``rows`` in the place of those that have the same key; columns that ``rows`` lacks become null."""
-    filled = rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast(stored.schema[c].dataType).alias(c) for c in stored.columns))
-    return delete_keys(stored, rows, on).unionByName(filled)
+    return delete_keys(stored, rows, on).unionByName(fit_to(rows, stored.schema))
 
 
 def convert_keys(part: Part, view: View, catalog: Catalog, keys: DataFrame) -> DataFrame | None:
     """View keys of main keys, if every key column of the view follows from main key columns alone; else None."""
     names = catalog.key(part.table)
-    only = keys.select(*names).alias(part.alias)
-    try:
-        return only.select(*(F.expr(part.columns[k]).alias(k) for k in view.key)).distinct()
-    except Exception as e:  # noqa: BLE001
-        if "UNRESOLVED" not in str(e):
-            raise
+    only_keys = replace(part, columns={k: part.columns[k] for k in view.key}, joins=(), where=None)
+    joins = replace(only_keys, joins=part.joins)
+    if not used_columns(only_keys, catalog, part.alias) <= set(names) or any(used_columns(replace(joins, joins=[replace(j, on=()) for j in part.joins]), catalog, j.alias) - set(names) for j in part.joins):
         return None
+    return keys.select(*quoted(names)).alias(part.alias).select(*(F.expr(part.columns[k]).alias(k) for k in view.key)).distinct()
 
 
 def fan_out(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -108,5 +113,11 @@ def fan_out(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
 
 
-def refresh_all(view: View, catalog: Catalog) -> DataFrame:
-    return full(view, catalog, bookkeeping=True)
+class FanOutError(ValueError):
+    """A refresh gave several rows for one key of the view."""
+
+
+def refuse_fan_out(rows: DataFrame, view: View) -> None:
+    """Raise if a key of the view has several of the (refreshed) rows; an example is named."""
+    if found := fan_out(rows, list(view.key)).limit(1).collect():
+        raise FanOutError(f"{view.name}: {found[0]['n_rows']} rows for key {[found[0][k] for k in view.key]}")

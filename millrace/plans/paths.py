@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections import deque
 from dataclasses import dataclass
 
@@ -9,11 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.plans.catalog import Catalog
-from millrace.plans.view import Join, Literal, Part, condition, side
-
-
-def _aliases(join: Join) -> set[str]:
-    return {x.split(".")[0] for pair in join.on for x in pair if not isinstance(x, Literal)}
+from millrace.plans.view import Literal, Part, ref, semi_join, side
 
 
 @dataclass(frozen=True)
@@ -26,8 +23,8 @@ class Path:
 
 def path_to_main(part: Part, catalog: Catalog, alias: str) -> Path | None:
     """The shortest way over join conditions; None if no condition connects the source with the main table."""
-    key = catalog.key(part.table)
-    if alias == part.alias:
+    key, main, alias = catalog.key(part.table), part.alias.lower(), alias.lower()
+    if alias == main:
         return Path((alias,), {c: c for c in key})
     same: dict[str, str] = {}
     links: dict[str, set[str]] = {}
@@ -35,18 +32,18 @@ def path_to_main(part: Part, catalog: Catalog, alias: str) -> Path | None:
         for left, right in j.on:
             if isinstance(left, Literal) or isinstance(right, Literal):
                 continue
-            (a, ca), (b, cb) = left.split("."), right.split(".")
+            (a, ca), (b, cb) = ref(left), ref(right)
             links.setdefault(a, set()).add(b)
             links.setdefault(b, set()).add(a)
             for (x, cx), (y, cy) in (((a, ca), (b, cb)), ((b, cb), (a, ca))):
-                if x == part.alias and y == alias and cx in key:
+                if x == main and y == alias and cx in key:
                     same[cx] = cy
     if set(same) == set(key):
-        return Path((alias, part.alias), same)
+        return Path((alias, main), same)
     seen, queue = {alias: (alias,)}, deque([alias])
     while queue:
         at = queue.popleft()
-        if at == part.alias:
+        if at == main:
             return Path(seen[at])
         for to in sorted(links.get(at, ())):
             if to not in seen:
@@ -66,27 +63,19 @@ def affected_keys(part: Part, catalog: Catalog, alias: str, rows: DataFrame) ->
         return None
     key = catalog.key(part.table)
     if path.direct is not None:
-        return rows.select(*(F.col(path.direct[c]).alias(c) for c in key)).distinct()
-    tables = {part.alias: part.table} | {j.alias: j.table for j in part.joins}
-    df, have = rows.alias(alias), {alias}
+        return rows.select(*(F.col(f"`{path.direct[c]}`").alias(c) for c in key)).distinct()
+    tables = {a.lower(): t for t, a in part.sources}
+    df, have = rows.alias(path.steps[0]), {path.steps[0]}
     for step in path.steps[1:]:
-        have_now = have | {step}
+        have = have | {step}
         conditions = [
             side(left) == side(right)
             for j in part.joins
             for left, right in j.on
-            if (sides := {x.split(".")[0] for x in (left, right) if not isinstance(x, Literal)}) <= have_now and step in sides
+            if (sides := {ref(x)[0] for x in (left, right) if not isinstance(x, Literal)}) <= have and step in sides
         ]
-        df = df.join(catalog.table(tables[step]).alias(step), _all(conditions), "inner")
-        have = have_now
-    return df.select(*(F.col(f"{part.alias}.{c}").alias(c) for c in key)).distinct()
-
-
-def _all(conditions: list):
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
+        df = df.join(catalog.table(tables[step]).alias(step), functools.reduce(lambda a, b: a & b, conditions), "inner")
+    return df.select(*(F.col(f"`{part.alias.lower()}`.`{c}`").alias(c) for c in key)).distinct()
 
 
 def dictionary_keys(part: Part, catalog: Catalog, changed: dict[str, DataFrame]) -> DataFrame | None:
@@ -95,15 +84,11 @@ def dictionary_keys(part: Part, catalog: Catalog, changed: dict[str, DataFrame])
     ``changed`` has, by alias, the keys of changed rows. Each dictionary is met by semi-joins through names, so
     the order of dictionaries and columns plays no part.
     """
-    found = None
+    found = []
     for alias, keys in sorted(changed.items()):
-        table = next(j.table for j in part.joins if j.alias == alias)
-        rows = catalog.table(table).join(keys, list(catalog.key(table)), "left_semi")
-        one = affected_keys(part, catalog, alias, rows)
+        table = next(t for t, a in part.sources if a.lower() == alias.lower())
+        one = affected_keys(part, catalog, alias, semi_join(catalog.table(table), keys, catalog.key(table)))
         if one is None:
             return None
-        found = one if found is None else found.unionByName(one)
-    return None if found is None else found.distinct()
-
-
-__all__ = ["Path", "affected_keys", "condition", "dictionary_keys", "path_to_main"]
+        found.append(one)
+    return functools.reduce(DataFrame.unionByName, found).distinct() if found else None

@@ -1,13 +1,15 @@
 """A materialized view: selects, inner and left equi-joins, a filter, and UNION ALL of such parts.
 
 Expressions are Spark SQL text over the aliases of the part (``functions.dialect`` translates text written in
-the other dialect). A view's rows always carry two more columns in the stored form: the part they come from and the key of
-the part's main row. They let a refresh find a row again whatever the view's own key is.
+the other dialect). A view's rows carry more columns in the stored form: the part they come from, the key of the
+part's main row and, if the view asks for ``links``, the keys of the joined rows. They let a refresh find a row
+again whatever the view's own key is.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -16,7 +18,9 @@ from pyspark.sql import functions as F
 
 from millrace.plans.catalog import Catalog
 
-PART, MAIN_KEY = "__part", "__main_key"
+PART, MAIN_KEY, LINKS = "__part", "__main_key", "__links"
+#: Columns of the stored form that the view itself doesn't have.
+STORED = (PART, MAIN_KEY, LINKS)
 
 
 @dataclass(frozen=True)
@@ -28,7 +32,7 @@ class Literal:
 
 @dataclass(frozen=True)
 class Join:
-    """``how`` is inner or left; ``on`` lists equalities of "alias.column" or Literal sides, joined by AND."""
+    """``how`` is inner or left; ``on`` lists equalities of "alias.column" or Literal sides, joined by AND. Names with dots are quoted: "a.`b.c`"."""
 
     table: str
     alias: str
@@ -45,6 +49,11 @@ class Part:
     where: str | None = None
     name: str = "default"
 
+    @property
+    def sources(self) -> list[tuple[str, str]]:
+        """(table, alias) of all sources, the main one first."""
+        return [(self.table, self.alias), *((j.table, j.alias) for j in self.joins)]
+
 
 @dataclass(frozen=True)
 class View:
@@ -53,10 +62,22 @@ class View:
     parts: Sequence[Part]
     #: Output types by column; what a part selects is cast to them.
     types: Mapping[str, str] = field(default_factory=dict)
+    #: Whether stored rows carry the keys of the joined rows, so that changes without old images can be mapped.
+    links: bool = False
+
+
+def quoted(names: Sequence[str]) -> list[str]:
+    return [f"`{c}`" for c in names]
+
+
+def ref(x: str) -> tuple[str, str]:
+    """(alias in lower case, column) of "alias.column"; either may be quoted."""
+    alias, column = re.fullmatch(r"(`[^`]*`|[^.`]+)\.(.+)", x).groups()
+    return alias.strip("`").lower(), column.strip("`")
 
 
 def side(x: str | Literal) -> Column:
-    return F.lit(x.value) if isinstance(x, Literal) else F.col(x)
+    return F.lit(x.value) if isinstance(x, Literal) else F.col("`{}`.`{}`".format(*ref(x)))
 
 
 def condition(join: Join) -> Column:
@@ -71,51 +92,62 @@ def joined(part: Part, catalog: Catalog, main: DataFrame | None = None) -> DataF
     return df
 
 
+def key_text(names: Sequence[str], of: str | None = None) -> Column:
+    """The stored form of a key, of the rows at hand or of an alias."""
+    column = lambda c: F.col(f"`{of}`.`{c}`" if of else f"`{c}`").alias(c)
+    return F.to_json(F.struct(*(column(c) for c in names)), {"ignoreNullFields": "false"})
+
+
+def link_text(alias: str, key: Column) -> Column:
+    return F.concat(F.lit(f"{alias.lower()}="), key)
+
+
 def select(part: Part, view: View, catalog: Catalog, main: DataFrame | None = None) -> DataFrame:
-    """Rows of one part with the two bookkeeping columns at the end."""
+    """Rows of one part with the stored form's columns at the end."""
     df = joined(part, catalog, main)
     df = df.where(F.expr(part.where)) if part.where else df
     own = [F.expr(text).cast(view.types[name]).alias(name) if name in view.types else F.expr(text).alias(name) for name, text in part.columns.items()]
-    key = F.to_json(F.struct(*(F.col(f"{part.alias}.{c}").alias(c) for c in catalog.key(part.table))), {"ignoreNullFields": "false"})
-    return df.select(*own, F.lit(part.name).alias(PART), key.alias(MAIN_KEY))
+    more = [F.lit(part.name).alias(PART), key_text(catalog.key(part.table), part.alias).alias(MAIN_KEY)]
+    if view.links:
+        links = [link_text(j.alias, key_text(catalog.key(j.table), j.alias)) for j in part.joins]
+        more.append((F.array(*links) if links else F.array().cast("array<string>")).alias(LINKS))
+    return df.select(*own, *more)
 
 
 def full(view: View, catalog: Catalog, bookkeeping: bool = False) -> DataFrame:
     """The whole view."""
     df = functools.reduce(DataFrame.unionByName, [select(p, view, catalog) for p in view.parts])
-    return df if bookkeeping else df.drop(PART, MAIN_KEY)
+    return df if bookkeeping else df.drop(*STORED)
+
+
+def semi_join(rows: DataFrame, keys: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``rows`` whose key is among ``keys``; null parts of a key match null."""
+    wanted = keys.select(*(F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(names)))
+    met = functools.reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(names)])
+    return rows.join(wanted, met, "left_semi")
 
 
 def by_keys(part: Part, view: View, catalog: Catalog, keys: DataFrame) -> DataFrame:
     """Rows of a part for the given main-table keys (null parts of a key match null)."""
-    names = catalog.key(part.table)
-    main = catalog.table(part.table)
-    wanted = keys.select(*(F.col(c).alias(f"__k_{c}") for c in names))
-    met = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in names])
-    return select(part, view, catalog, main.join(wanted, met, "left_semi"))
+    return select(part, view, catalog, semi_join(catalog.table(part.table), keys, catalog.key(part.table)))
 
 
-def main_keys(df: DataFrame, names: Sequence[str]) -> Column:
-    """The stored form of a main row's key."""
-    return F.to_json(F.struct(*(df[c].alias(c) for c in names)), {"ignoreNullFields": "false"})
+_TEXT = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"")
+_NAME = re.compile(r"(?:(`[^`]*`|[A-Za-z_]\w*)\s*\.\s*)?(`[^`]*`|[A-Za-z_]\w*|\*)")
 
 
 def used_columns(part: Part, catalog: Catalog, alias: str) -> set[str]:
-    """Columns of a source that the part's joins, filter and outputs refer to, as Spark resolves them.
+    """Columns of a source that the part's joins, filter and outputs name, so nothing needs to be declared.
 
-    A column counts when the part no longer analyses without it, so nothing needs to be declared.
+    A name without an alias counts for every source that has it: a column may be taken for used that isn't, but none
+    that is used is left out.
     """
-    source = next(t for t, a in [(part.table, part.alias), *((j.table, j.alias) for j in part.joins)] if a == alias)
-    rows = catalog.table(source)
-    found = set()
-    for c in rows.columns:
-        less = catalog.with_tables(**{source: rows.drop(c)})
-        try:
-            df = joined(part, less)
-            df = df.where(F.expr(part.where)) if part.where else df
-            _ = df.select(*(F.expr(e) for e in part.columns.values())).schema
-        except Exception as e:  # noqa: BLE001
-            if "UNRESOLVED" not in str(e):
-                raise
-            found.add(c)
-    return found
+    alias = alias.lower()
+    source = next(t for t, a in part.sources if a.lower() == alias)
+    columns = {c.lower(): c for c in catalog.table(source).columns}
+    texts = [*part.columns.values(), part.where or ""]
+    names = {(a.strip("`").lower(), c.strip("`").lower()) for text in texts for a, c in _NAME.findall(_TEXT.sub("''", text))}
+    names |= {(a, c.lower()) for j in part.joins for pair in j.on for x in pair if not isinstance(x, Literal) for a, c in [ref(x)]}
+    if ("", "*") in names or (alias, "*") in names:
+        return set(columns.values())
+    return {columns[c] for a, c in names if a in ("", alias) and c in columns}

@@ -11,11 +11,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace import scratch
 from millrace.operators import dictionary, refresh
 from millrace.plans import paths
 from millrace.plans.catalog import Catalog
-from millrace.plans.view import Join, Literal, Part, View, by_keys, full
+from millrace.functions.dialect import translated
+from millrace.plans.view import STORED, Join, Literal, Part, View, by_keys, full
 from millrace.sources import cdc, scan
+from millrace.sources.positions import Positions
+from millrace.streaming.apply import LookupStream, ViewStream
+from millrace.streaming.backfill import backfill
+from millrace.streaming.store import ViewStore, refresh_all
 
 KEYS = {
     "region": ("r_regionkey",), "nation": ("n_nationkey",), "customer": ("c_custkey",), "supplier": ("s_suppkey",),
@@ -51,6 +57,12 @@ SELECT 200000000 + s_suppkey, 'supplier', s_name, n_name, s_acctbal FROM supplie
 """
 
 
+UNION_VIEW = View("names", ["name"], [
+    Part("customer", "c", {"name": "c.c_name", "nation": "c.c_nationkey"}, name="first"),
+    Part("supplier", "s", {"name": "s.s_name", "nation": "s.s_nationkey"}, name="second"),
+])
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     return Catalog.parquet(spark, sf_dir, KEYS)
 
@@ -65,7 +77,7 @@ def _select(table: str, alias: str, columns: dict[str, str], joins=(), where: st
 
 
 def _final(view: View, now: Catalog, then: Catalog, changes) -> DataFrame:
-    return refresh.apply_changes(view, now, full(view, then, bookkeeping=True), changes).drop("__part", "__main_key")
+    return refresh.apply_changes(view, now, full(view, then, bookkeeping=True), changes).drop(*STORED)
 
 
 def _refresh_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +86,7 @@ def _refresh_keys(spark: SparkSession, d: str) -> DataFrame:
     orders = now.table("orders")
     then = now.with_tables(orders=orders.where("o_orderkey % 10 <> 3").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 10 == 4, 5000.0).otherwise(F.col("o_totalprice"))))
     keys = orders.where("o_orderkey % 10 IN (3, 4)").select("o_orderkey")
-    return refresh.refresh_keys(ORDER_VIEW, now, full(ORDER_VIEW, then, bookkeeping=True), {"default": keys}).drop("__part", "__main_key")
+    return refresh.refresh_keys(ORDER_VIEW, now, full(ORDER_VIEW, then, bookkeeping=True), {"default": keys}).drop(*STORED)
 
 
 def _delete_topmost(spark: SparkSession, d: str) -> DataFrame:
@@ -148,7 +160,7 @@ def _dict_refresh(*tables: str):
         now = catalog(spark, d)
         older = {"nation": _older_nation, "region": _older_region}
         then = now.with_tables(**{t: older[t](now) for t in tables})
-        return dictionary.dictionary_refresh(ORDER_VIEW, then, now, full(ORDER_VIEW, then, bookkeeping=True), list(tables)).drop("__part", "__main_key")
+        return dictionary.dictionary_refresh(ORDER_VIEW, then, now, full(ORDER_VIEW, then, bookkeeping=True), list(tables)).drop(*STORED)
 
     return run
 
@@ -176,6 +188,73 @@ def _cdc(spark: SparkSession, d: str) -> DataFrame:
     return parsed.where("NOT bad").select("event_id", "op", F.col("after.user_id").alias("user_id"), F.col("after.event_type").alias("event_type"), F.col("after.value").alias("value"))
 
 
+def _messages(rows: DataFrame, key: list[str], before: DataFrame | None = None) -> DataFrame:
+    """Change messages of the rows of a table: their keys alone, or with the old images of ``before`` and the new ones."""
+    text = F.array(*(F.col(c).cast("string") for c in key))
+    if before is None:
+        return rows.select(F.to_json(F.struct(text.alias("key"), F.create_map().cast("map<string,string>").alias("update"))).alias("value"))
+    old = before.select(*(F.col(c).alias(f"k_{c}") for c in key), F.struct(*before.columns).alias("oldImage"))
+    met = rows.join(old, [F.col(c) == F.col(f"k_{c}") for c in key], "left")
+    return met.select(F.to_json(F.struct(text.alias("key"), "oldImage", F.struct(*rows.columns).alias("newImage"))).alias("value"))
+
+
+def _inbox(spark: SparkSession, folder: str, table: str, messages: DataFrame) -> DataFrame:
+    """The messages as a stream of text files."""
+    messages.write.text(f"{folder}/in/{table}")
+    return spark.readStream.text(f"{folder}/in/{table}")
+
+
+def _stream_apply(spark: SparkSession, d: str) -> DataFrame:
+    """Messages with keys alone, of orders and customers that changed, moved or went away, in one stream into the stored view."""
+    now, at = catalog(spark, d), scratch.new_folder(spark, "cdc")
+    view = View("order_view", ["o_orderkey"], [ORDER_PART], links=True)
+    orders, customers = now.table("orders"), now.table("customer")
+    old_c = customers.withColumn("c_nationkey", F.when(F.col("c_custkey") % 4 == 1, (F.col("c_nationkey") + 7) % 25).otherwise(F.col("c_nationkey")).cast("int"))
+    gone_c = customers.where("c_custkey % 9 = 2").withColumn("c_custkey", -F.col("c_custkey"))
+    old_o = orders.withColumn("o_custkey", F.when(F.col("o_orderkey") % 5 == 0, -2).otherwise(F.col("o_custkey"))).where("o_orderkey % 7 <> 3")
+    gone_o = orders.where("o_orderkey % 11 = 4").withColumn("o_orderkey", -F.col("o_orderkey") - 1)
+    then = now.with_tables(orders=old_o.unionByName(gone_o), customer=old_c.unionByName(gone_c))
+    store = ViewStore(spark, f"{at}/view")
+    refresh_all(view, then, store)
+    changed_o = orders.where("o_orderkey % 5 = 0 OR o_orderkey % 7 = 3").select("o_orderkey").unionByName(gone_o.select("o_orderkey"))
+    changed_c = customers.where("c_custkey % 4 = 1").select("c_custkey").unionByName(gone_c.select("c_custkey"))
+    run = ViewStream(lambda: now, {"v": (view, store)}, f"{at}/dead")
+    streams = {"orders": _inbox(spark, at, "orders", _messages(changed_o, ["o_orderkey"])), "customer": _inbox(spark, at, "customer", _messages(changed_c, ["c_custkey"]))}
+    run.start(streams, f"{at}/checkpoint").awaitTermination()
+    return store.rows().drop(*STORED)
+
+
+def _log_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of nations and regions go through a stream into the log; the stored view takes them up from there."""
+    now, at = catalog(spark, d), scratch.new_folder(spark, "log")
+    then = now.with_tables(nation=_older_nation(now), region=_older_region(now))
+    store = ViewStore(spark, f"{at}/view")
+    refresh_all(ORDER_VIEW, then, store)
+    log, positions = dictionary.DictionaryLog(spark, f"{at}/log"), Positions(spark, f"{at}/positions")
+    streams = {t: _inbox(spark, at, t, _messages(now.table(t), list(KEYS[t]), then.table(t))) for t in ("nation", "region")}
+    LookupStream(lambda: now, log).start(streams, f"{at}/checkpoint").awaitTermination()
+    dictionary.refresh_from_log(ORDER_VIEW, now, store, log, positions, "orders", ["nation", "region"])
+    return store.rows().drop(*STORED)
+
+
+def _resumed(spark: SparkSession, d: str) -> DataFrame:
+    """A full refresh in pages that stops after three of eight and goes on."""
+    now, at = catalog(spark, d), scratch.new_folder(spark, "pages")
+    store, positions = ViewStore(spark, f"{at}/view"), Positions(spark, f"{at}/positions")
+    refresh_all(ORDER_VIEW, now.with_tables(nation=_older_nation(now)), store)
+    backfill(ORDER_VIEW, now, store, positions, "job", most=3)
+    backfill(ORDER_VIEW, now, store, positions, "job")
+    return store.rows().drop(*STORED)
+
+
+def _null_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys with null parts come first and are walked past."""
+    turns = catalog(spark, d).table("conversations").select(F.when(F.col("conv_id") % 3 != 0, F.col("conv_id")).alias("conv_id"), F.when(F.col("turn") > 1, F.col("turn")).alias("turn"))
+    return scan.scan_next(turns, ("conv_id", "turn"), (None, 2), 2000)
+
+
+OTHER_DIALECT = View("v", ["o_orderkey"], [Part("orders", "o", {"o_orderkey": "o.o_orderkey", "head": "Unicode::Substring(o.o_orderpriority, 3, 5)", "day": "CAST(o.o_orderdate AS Date)", "note": "'x'u", "whole": "CAST(o.o_orderpriority AS Int32?)"}, (), "o.o_orderstatus <> 'F'u")], types={"o_orderkey": "Int64"})
+
 ORDER_COLUMNS = {"o_orderkey": "o.o_orderkey", "o_custkey": "o.o_custkey", "price": "o.o_totalprice"}
 CUSTOMER_JOIN = Join("customer", "c", [("o.o_custkey", "c.c_custkey")])
 
@@ -197,7 +276,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "join_literal_only": _select("orders", "o", {"o_orderkey": "o.o_orderkey", "r_name": "r.r_name"}, [Join("region", "r", [("r.r_regionkey", Literal(1))])]),
         "join_chain": _select("customer", "c", {"c_custkey": "c.c_custkey", "n_name": "n.n_name", "r_name": "r.r_name"}, [Join("nation", "n", [("c.c_nationkey", "n.n_nationkey")]), Join("region", "r", [("n.n_regionkey", "r.r_regionkey")])]),
         "union_all_computed_pk": lambda s, d: full(PARTY_VIEW, catalog(s, d)),
-        "select_by_keys": lambda s, d: by_keys(ORDER_PART, ORDER_VIEW, (k := catalog(s, d)), k.table("orders").where("o_orderkey % 100 = 1").select("o_orderkey")).drop("__part", "__main_key"),
+        "select_by_keys": lambda s, d: by_keys(ORDER_PART, ORDER_VIEW, (k := catalog(s, d)), k.table("orders").where("o_orderkey % 100 = 1").select("o_orderkey")).drop(*STORED),
         "scan_start": lambda s, d: scan.scan_start(catalog(s, d).table("conversations"), ("conv_id", "turn"), 1000),
         "scan_next": lambda s, d: scan.scan_next(catalog(s, d).table("conversations"), ("conv_id", "turn"), (20, 1), 1000),
         "dedup_keys": lambda s, d: refresh.dedup_keys(catalog(s, d).table("orders").select("o_custkey")),
@@ -220,6 +299,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dict_refresh": _dict_refresh("nation"),
         "dict_refresh_two": _dict_refresh("nation", "region"),
         "cdc_parse": _cdc,
+        "cdc_stream_apply": _stream_apply,
+        "dict_log_refresh": _log_refresh,
+        "scan_resume": _resumed,
+        "scan_null_keys": _null_keys,
+        "union_all": lambda s, d: full(UNION_VIEW, catalog(s, d)),
+        "expr_json": _select("conversations", "c", {"conv_id": "c.conv_id", "turn": "c.turn", "role": "get_json_object(to_json(named_struct('r', c.role, 'n', c.turn)), '$.r')", "n": "CAST(from_json(concat('{\"n\": ', c.turn, '}'), 'n INT').n AS INT)"}),
+        "expr_dialect": lambda s, d: full(translated(OTHER_DIALECT), catalog(s, d)),
     }
 
 
@@ -267,4 +353,12 @@ def oracle_sql() -> dict[str, str]:
         "dict_refresh_two": ORDER_SQL,
         "cdc_parse": """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'delete' ELSE 'upsert' END AS op, CASE WHEN event_id % 5 <> 0 THEN user_id END AS user_id,
             CASE WHEN event_id % 5 <> 0 THEN event_type END AS event_type, CASE WHEN event_id % 5 <> 0 THEN value END AS value FROM events""",
+        "cdc_stream_apply": ORDER_SQL,
+        "dict_log_refresh": ORDER_SQL,
+        "scan_resume": ORDER_SQL,
+        "scan_null_keys": """WITH k AS (SELECT CASE WHEN conv_id % 3 <> 0 THEN conv_id END AS conv_id, CASE WHEN turn > 1 THEN turn END AS turn FROM conversations)
+            SELECT conv_id, turn FROM k WHERE conv_id IS NOT NULL OR turn > 2 ORDER BY conv_id NULLS FIRST, turn NULLS FIRST LIMIT 2000""",
+        "union_all": "SELECT c_name AS name, c_nationkey AS nation FROM customer UNION ALL SELECT s_name, s_nationkey FROM supplier",
+        "expr_json": "SELECT conv_id, turn, role, turn AS n FROM conversations",
+        "expr_dialect": "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, substring(o_orderpriority, 3, 5) AS head, CAST(o_orderdate AS DATE) AS day, 'x' AS note, TRY_CAST(o_orderpriority AS INT) AS whole FROM orders WHERE o_orderstatus <> 'F'",
     }

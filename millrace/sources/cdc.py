@@ -22,8 +22,8 @@ def parse(messages: DataFrame, schema: T.StructType, key: Sequence[str], column:
     """One row per message: key columns, op (upsert or delete), before and after (null if not sent), bad.
 
     ``after`` is the new image, with the key's values laid over it, or the columns of a bare update. A message that
-    is no JSON object, has no full key array, or a key value that can't be decoded is ``bad``. ``erase`` with null
-    is not a delete.
+    is no JSON object, has no full key array, or a value in key or images that can't be decoded is ``bad``. ``erase``
+    with null is not a delete. An old image that was not sent is null in ``before``.
     """
     top = T.StructType([T.StructField("key", T.ArrayType(T.StringType())), *(T.StructField(f, T.MapType(T.StringType(), T.StringType())) for f in ("oldImage", "newImage", "update", "erase"))])
     m = messages.withColumn("__m", F.from_json(F.col(column), top))
@@ -34,6 +34,11 @@ def parse(messages: DataFrame, schema: T.StructType, key: Sequence[str], column:
     for n in null_sent:
         bad = bad | F.coalesce(n, F.lit(False))
 
+    for field in ("oldImage", "newImage", "update"):
+        for f in schema:
+            sent = F.try_element_at(F.col(f"__m.{field}"), F.lit(f.name))
+            bad = bad | F.coalesce(sent.isNotNull() & _decoded(sent, f.dataType).isNull(), F.lit(False))
+
     def image(field: str, overlay: bool) -> Column:
         values = [(part[f.name] if overlay and f.name in part else _decoded(F.try_element_at(F.col(f"__m.{field}"), F.lit(f.name)), f.dataType)).alias(f.name) for f in schema]
         return F.when(F.col(f"__m.{field}").isNotNull(), F.struct(*values))
