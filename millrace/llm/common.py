@@ -2,41 +2,44 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from typing import ClassVar
 
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.scratch import new_folder, remove
+
 #: ASCII white space as the contracts list it.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dir: str | None = None
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+#: Rows of an Arrow batch that are worked on at once.
+SLICE = 1024
 
-    Only where all runs in one process on one machine (tests) may it be unset: then it is a folder of our own.
-    """
-    global _own_dir
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    _own_dir = _own_dir or tempfile.mkdtemp(prefix="spark-")
-    return f"file://{_own_dir}"
+
+def _lean(batches: Iterator[pa.RecordBatch], work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    try:
+        yield from work(b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE))
+    finally:  # workers live on: what they freed goes back to the machine
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` over slices of its batches, so that copies of text columns stay small; memory is given back after each task."""
+    return df.mapInArrow(lambda it: _lean(it, work), schema)
 
 
 class Stage:
@@ -51,7 +54,7 @@ class Stage:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        self.root = new_folder(spark, label)
         self._n = 0
         Stage.open.append(self)
 
@@ -71,9 +74,9 @@ class Stage:
             remove(self.spark, df._millrace_path)
 
 
-def sweep(spark: SparkSession, *but: Stage) -> None:
-    """Delete the stage tables of all runs of this process but the given ones, after their results have been written."""
-    for stage in [s for s in Stage.open if s not in but]:
+def sweep(spark: SparkSession, before: list[Stage]) -> None:
+    """Delete the stage tables of runs that began after ``before`` (a copy of ``Stage.open``), once their results have been written."""
+    for stage in [s for s in Stage.open if s not in before]:
         remove(spark, stage.root)
         Stage.open.remove(stage)
 

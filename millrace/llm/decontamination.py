@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import tokens
-from millrace.llm.common import table
+from millrace.llm.common import arrow_map, table
 from millrace.llm.features import lowered
 
 WINDOW = 16
@@ -465,7 +465,7 @@ FOUND = "doc_id long, item_id long, lcs double, cosine double, by string, start_
 
 def fit(texts: DataFrame, known: Vocabulary, rank: int = RANK, seed: int = 5) -> Latent | None:
     """The latent space of the benchmark's words over all ``texts`` (one text column); None without common words."""
-    counted = texts.mapInArrow(lambda it: _count(it, known), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    counted = arrow_map(texts, lambda it: _count(it, known), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     counts = dict(zip(counted["term"].to_pylist(), counted["n"].to_pylist(), strict=True))
     total = counts.pop(-1, 0)
     if not counts:
@@ -475,7 +475,7 @@ def fit(texts: DataFrame, known: Vocabulary, rank: int = RANK, seed: int = 5) ->
     random = np.random.default_rng(seed).normal(size=(len(idf), min(rank + OVERSAMPLE, len(idf))))
     wide = random.shape[1]
     schema = "term int, " + ", ".join(f"c{j} double" for j in range(wide))
-    parts = texts.mapInArrow(lambda it: _sketch(it, known, idf, random), schema).groupBy("term").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(wide))).toArrow()
+    parts = arrow_map(texts, lambda it: _sketch(it, known, idf, random), schema).groupBy("term").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(wide))).toArrow()
     product = np.zeros_like(random)
     product[parts["term"].to_numpy()] = np.column_stack([parts[f"c{j}"].to_numpy() for j in range(wide)])
     vectors, values = decompose(product, random, rank)
@@ -518,7 +518,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits = []
     for index in indexes(rows.select("text"), benchmark, block, answer_col):
         shared = spark.sparkContext.broadcast(index)
-        hits.append(rows.mapInArrow(lambda it, s=shared: _search(it, s.value), FOUND))
+        hits.append(arrow_map(rows, lambda it, s=shared: _search(it, s.value), FOUND))
     found = functools.reduce(DataFrame.unionByName, hits) if hits else spark.createDataFrame([], FOUND)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs", "cosine", "by", "start_word", "end_word")).alias("b"))
     return best.select("doc_id", "item_id", "b.*")
@@ -533,7 +533,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     texts, at = docs.select(F.col(text_col).cast("string").alias("text")), docs.columns.index(text_col)
     for index in indexes(texts, benchmark, block):
         shared = docs.sparkSession.sparkContext.broadcast(index)
-        docs = docs.mapInArrow(lambda it, s=shared: _clean(it, s.value, at), docs.schema)
+        docs = arrow_map(docs, lambda it, s=shared: _clean(it, s.value, at), docs.schema)
     return docs
 
 

@@ -23,7 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import FILTER_BITS, Stage, maybe_in, remove, split_hot, table
+from millrace.llm.common import FILTER_BITS, Stage, maybe_in, split_hot, table
+from millrace.scratch import exists, remove
 
 #: Parquet settings of a run: a filter on the digest beside the statistics that sorting makes useful.
 RUN_OPTIONS = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "200000"}
@@ -56,8 +57,7 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self.version, self.runs = 0, []
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
-        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        if exists(spark, f"{self.path}/manifest"):
             log = spark.read.schema("version int, level int, run string").json(f"{self.path}/manifest")
             self.version = log.agg(F.max("version")).first()[0]
             # one row per run of the newest version: about FAN of each level

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
+from millrace.llm.common import arrow_map, table
 from millrace.llm.features import dense_chunks, held_out, lowered, sample_per_class, subword_counts, subwords
 
 ORDERS = (2, 3, 4)
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     per_class = max(LEAST, min(per_class, sample // max(1, rows.select("lang").distinct().count())))
     ids = sample_per_class(rows.select("doc_id", "lang"), "lang", per_class).select("doc_id", "lang").distinct()
     picked = rows.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", "text")
-    got = picked.mapInArrow(_sample_counts, "doc_id long, lang string, piece int, spots array<int>, counts array<float>, seen array<int>, times array<int>, mixed array<int>, mixed_times array<int>").toArrow().sort_by([("doc_id", "ascending"), ("piece", "ascending")]).combine_chunks()
+    got = arrow_map(picked, _sample_counts, "doc_id long, lang string, piece int, spots array<int>, counts array<float>, seen array<int>, times array<int>, mixed array<int>, mixed_times array<int>").toArrow().sort_by([("doc_id", "ascending"), ("piece", "ascending")]).combine_chunks()
     got = got.filter(pc.greater(pc.list_value_length(got["spots"]), 0)).combine_chunks()
     if not got.num_rows:
         return None
@@ -241,7 +241,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return texts.mapInArrow(lambda it: _predict(it, shared.value), "doc_id long, lang_pred string, score double, rejected boolean")
+    return arrow_map(texts, lambda it: _predict(it, shared.value), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def _accepted(batches: Iterator[pa.RecordBatch], model: LanguageModel | None, at: int) -> Iterator[pa.RecordBatch]:
@@ -259,7 +259,7 @@ def drop_rejected(docs: DataFrame, model: LanguageModel | None, text_col: str =
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
-    return docs.mapInArrow(lambda it: _accepted(it, shared.value, at), docs.schema)
+    return arrow_map(docs, lambda it: _accepted(it, shared.value, at), docs.schema)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,7 +161,7 @@ def mixed_rows(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: in
     ruled = rules(stage.keep(word_counts(docs, seed, id_col, text_col, source_col), "sizes"), stage, weights, max_epochs)
     own = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), _draw(F.col(id_col), seed).alias("draw"))
     placed = own.alias("s").join(ruled.alias("r"), _same_source("s", "r")).select("s.*", "r.whole", "r.border", "r.border_words")
-    # any word at all: the size of these is not needed
+    # only rows at a border need their size again; of the others it matters whether they have a word at all
     plain, edge = _split(placed.withColumn("size", F.when(F.col("border") == F.substring("draw", 1, 2 * CELL), _words(F.col("text")))))
     plain = plain.select("row", (F.col("whole") + (F.col("more") & F.coalesce(F.col("text").rlike(WORD), F.lit(False))).cast("int")).cast("int").alias("repeats"))
     edge = edge.select("row", _repeats(_extra()).alias("repeats"))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import tokens
-from millrace.llm.common import Stage, maybe_in, spread_join, table, without
+from millrace.llm.common import Stage, arrow_map, maybe_in, spread_join, table, without
 from millrace.llm.components import connected_components
 
 WIDTH = 5
@@ -108,7 +108,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
     met = spread_join(pairs.select("a", "b"), one, "a", "b").join(two, "b").select("a", "b", "left", "right")
-    return met.mapInArrow(lambda it: _common(it, percent), "a long, b long").distinct()
+    return arrow_map(met, lambda it: _common(it, percent), "a long, b long").distinct()
 
 
 def keys_of(able: DataFrame, groups: int, stage: Stage) -> DataFrame:
@@ -136,7 +136,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     stage = Stage(spark, "near-dedup")
     groups = groups_for(percent)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = stage.keep(texts.mapInArrow(lambda it: signatures(it, width, groups), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
+    signed = stage.keep(arrow_map(texts, lambda it: signatures(it, width, groups), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
 
     # classes of equal sets; sets too small to have a different partner at the threshold have no keys
     classes = stage.keep(
@@ -151,7 +151,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     sizes = able.groupBy(F.col("rep").alias("id")).agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"))
     tested = stage.keep(_near_in_size(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), sizes, percent), "tested")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = maybe_in(texts, wanted).mapInArrow(lambda it: shingle_sets(it, width), "doc_id long, shingles array<long>")
+    sets = arrow_map(maybe_in(texts, wanted), lambda it: shingle_sets(it, width), "doc_id long, shingles array<long>")
     sets = stage.keep(sets.join(wanted, "doc_id", "left_semi"), "sets")
     links = stage.keep(verified(tested, sets, percent), "links")
     labels = connected_components(links, stage)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import tokens
-from millrace.llm.common import table
+from millrace.llm.common import arrow_map, table
 from millrace.llm.features import byte_counts, dense_chunks, held_out, sample_per_class
 
 ORDERS = (2, 3)
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grade_col: str = "quality", per_gra
     per_grade = max(LEAST, min(per_grade, sample // max(1, known.select("grade").distinct().count())))
     picked = sample_per_class(known, "grade", per_grade).select("doc_id", "grade")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "grade", "text").mapInArrow(_sample, "doc_id long, grade double, x binary").toArrow().sort_by("doc_id")
+    rows = arrow_map(texts.join(F.broadcast(picked), "doc_id").select("doc_id", "grade", "text"), _sample, "doc_id long, grade double, x binary").toArrow().sort_by("doc_id")
     if not rows.num_rows:
         return None
     grades = sorted(set(rows["grade"].to_pylist()))
@@ -163,7 +163,7 @@ def grade(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", t
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    graded = texts.mapInArrow(lambda it: _predict(it, shared.value), "doc_id long, expected_grade double, tail double")
+    graded = arrow_map(texts, lambda it: _predict(it, shared.value), "doc_id long, expected_grade double, tail double")
     return graded.withColumn("selected", F.coalesce(F.col("tail") >= 0.5, F.lit(False)))
 
 

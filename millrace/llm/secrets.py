@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
+from millrace.llm.common import arrow_map, table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -323,7 +323,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     result. The pass is one map over the rows without a shuffle.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(_scan, "doc_id long, found array<struct<kind: string, start: long, end: long>>, base string")
+    return arrow_map(texts, _scan, "doc_id long, found array<struct<kind: string, start: long, end: long>>, base string")
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -343,7 +343,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text
                 out.append(None if text is None else "".join([*new, text[end:]]))
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return arrow_map(docs, clean, docs.schema)
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
