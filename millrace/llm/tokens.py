@@ -58,6 +58,14 @@ def chunks(column: pa.Array, rows: int = 1 << 16) -> Iterator[tuple[int, np.ndar
         at = to
 
 
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of ranges of bytes: equal ones of equal content, wherever they stand."""
+    n = len(data)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _power(_BASE, n), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _power(_BASE_INVERSE, n)[np.minimum(starts, n - 1)])
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of one chunk: word hashes, their byte starts and ends, and for each text the range of its words (n + 1 bounds)."""
     n = len(data)
@@ -75,10 +83,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after[-1] = False
     after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (~after | first[1:])) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _power(_BASE, n), out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * _power(_BASE_INVERSE, n)[starts])
-    return hashes, starts, ends, np.searchsorted(starts, offsets)
+    return range_hashes(data, starts, ends), starts, ends, np.searchsorted(starts, offsets)
 
 
 def shingles(hashes: np.ndarray, bounds: np.ndarray, width: int) -> Iterator[np.ndarray]:
