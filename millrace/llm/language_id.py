@@ -6,11 +6,11 @@ and softmax are trained together by stochastic gradient descent in numpy on the
 
 One document in five of the sample is kept apart to set the temperature of the softmax and two limits. A text
 is rejected when its largest probability is below that of nearly all calibration pieces, or when it is foreign
-to the language that it is taken for: for every language the n-grams of ``SEEN_ORDER`` bytes of its sample are
-kept as a bit map, and the evidence of a text is the log likelihood ratio of its seen and unseen n-grams
-between texts of the language and others (calibration pieces of one language held against the maps of all
-others, and pieces with shuffled letters), on average over its n-grams and ``PRIOR`` more that tell nothing. So
-short texts have little evidence either way, and a foreign part doesn't outweigh the rest of a long text.
+to all languages: the n-grams of ``SEEN_ORDER`` bytes of the sample are kept as a bit map, and the evidence of a text
+is the log likelihood ratio of its seen and unseen n-grams between known and foreign texts (calibration pieces of one
+language held against what all others have, and pieces with shuffled letters), on average over its n-grams and
+``PRIOR`` more that tell nothing. So short texts have little evidence either way, a foreign part doesn't outweigh the
+rest of a long text, and a text that mixes known languages is known.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from millrace.llm.features import dense_chunks, held_out, lowered, sample_per_cl
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 13
 DIM = 16
-#: n-grams whose presence in a language's sample is kept: bytes, and bits of their hashes.
-SEEN_ORDER, SEEN_BITS = 4, 16
+#: n-grams whose presence in the sample is kept: bytes, and bits of their hashes.
+SEEN_ORDER, SEEN_BITS = 4, 18
 PRIOR = 20
 #: Bounds of the training sample: documents of a language, documents of all languages together, and documents
 #: that every language has at least, however many languages there are.
@@ -51,7 +51,7 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float = 1.0
     reject_below: float = 0.0
-    seen: np.ndarray | None = None  # languages x 2 ** SEEN_BITS
+    seen: np.ndarray | None = None  # 2 ** SEEN_BITS
     #: Evidence that a seen and an unseen n-gram give, and the least average of it that is accepted.
     evidence: tuple[float, float] = (0.0, 0.0)
     least_evidence: float = -np.inf
@@ -60,11 +60,11 @@ class LanguageModel:
         hidden = (counts / np.maximum(counts.sum(1, keepdims=True), 1)) @ self.embedding
         return _softmax((hidden @ self.weights + self.bias) / self.temperature)
 
-    def familiar(self, data: np.ndarray, offsets: np.ndarray, language: np.ndarray) -> np.ndarray:
-        """Evidence of each text for its language."""
+    def familiar(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Evidence that each text is in a known language."""
         spot, text = subwords(data, offsets, SEEN_ORDER, SEEN_BITS)
-        number = np.bincount(text, minlength=len(language))
-        hits = np.bincount(text, self.seen[language[text], spot], len(language))
+        number = np.bincount(text, minlength=len(offsets) - 1)
+        hits = np.bincount(text, self.seen[spot], len(offsets) - 1)
         return (hits * self.evidence[0] + (number - hits) * self.evidence[1]) / (number + PRIOR)
 
 
@@ -187,27 +187,28 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         aside[:] = False
     model = train(Sparse(begin - begin[0], spots, counts), y, languages, aside)
 
-    # which n-grams each language has; then what calibration pieces look like to their own language and to all others
+    # in how many languages each n-gram is; then what calibration pieces look like to all of them, and to all others
     (begin, seen), (_, times) = flat("seen"), flat("times")
     row = np.repeat(np.arange(len(y)), np.diff(begin))
-    model.seen = np.zeros((len(languages), 1 << SEEN_BITS), bool)
     learned = ~aside[row]
-    model.seen[y[row[learned]], seen[learned]] = True
+    own = [np.unique(seen[learned & (y[row] == k)]) for k in range(len(languages))]
+    held = np.bincount(np.concatenate(own), minlength=1 << SEEN_BITS)
+    model.seen = held > 0
     check = np.flatnonzero(aside) if aside.any() else np.arange(len(y))
 
-    def told(name: str, by: np.ndarray) -> np.ndarray:
-        """(n-grams, seen ones) of the calibration rows under the languages that ``by`` (rows x languages) allows, the best of them."""
+    def told(name: str, others: bool = False) -> np.ndarray:
+        """(n-grams, seen ones) of the calibration rows; with ``others``, seen in other languages than their own."""
         (start, grams), (_, often) = flat(name), flat("times" if name == "seen" else "mixed_times")
         out = np.zeros((len(check), 2))
         for j, r in enumerate(check):
-            own = slice(start[r], start[r + 1])
-            hits = [int(often[own][model.seen[k, grams[own]]].sum()) for k in np.flatnonzero(by[j])]
-            out[j] = often[own].sum(), max(hits, default=0)
+            mine = grams[start[r] : start[r + 1]]
+            hit = held[mine] - np.isin(mine, own[y[r]]) > 0 if others else model.seen[mine]
+            number = often[start[r] : start[r + 1]]
+            out[j] = number.sum(), number[hit].sum()
         return out
 
-    proper = np.eye(len(languages), dtype=bool)[y[check]]
-    every = np.ones_like(proper)  # a document with a wrong label is no foreign text
-    calibrate(model, told("seen", every), np.concatenate((told("seen", ~proper), told("mixed", every))) if len(languages) > 1 else told("mixed", every))
+    foreign = [told("mixed")] + ([told("seen", others=True)] if len(languages) > 1 else [])
+    calibrate(model, told("seen"), np.concatenate(foreign))
     return model
 
 
@@ -224,7 +225,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel | None) ->
                 p = model.scores(subword_counts(data, offsets, ORDERS, BUCKETS))
                 to = at + len(p)
                 best[at:to], score[at:to] = p.argmax(1), p.max(1)
-                evidence[at:to] = model.familiar(data, offsets, best[at:to])
+                evidence[at:to] = model.familiar(data, offsets)
         lang = [model.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
         score = np.where(known, np.clip(score, 0, 1), 0.0)
         rejected = ~known | (score < model.reject_below) | (evidence < model.least_evidence) if model else ~known
