@@ -133,15 +133,33 @@ def test_exact_dedup_in_batches_and_collisions(spark, monkeypatch):
     want = {(0, 0, 2), (1, 0, 2), (2, 2, 2), (4, 2, 2), (3, 3, 1), (5, 5, 1)}
     assert rows() == want
     # every text has the same digest: only the bytes tell them apart
-    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.lit("same"))
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.lit("aaaa"))
     assert rows() == want
 
 
-def test_digest_lookup(spark):
-    index = exact_dedup.DigestIndex(spark)
-    index.flush(spark.createDataFrame([(1, "x y"), (2, None)], "doc_id long, text string"))
-    index.flush(spark.createDataFrame([(3, "x\ny")], "doc_id long, text string"))
-    assert sorted(r.doc_id for r in index.lookup([hashlib.sha256(b"x y").hexdigest()]).collect()) == [1, 3]
+def test_index_of_twenty_batches(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, f"text {rng.randrange(60)}" + rng.choice(["", " ", "\n\t"]) + "end") for i in rng.sample(range(1000), 300)]
+    want = {}
+    for i, t in rows:
+        key = re.sub(r"[\x20\x09-\x0D]+", " ", t)
+        low, n = want.get(key, (i, 0))
+        want[key] = (min(low, i), n + 1)
+    at, seen = str(tmp_path / "index"), set()
+    for k in range(20):
+        index = exact_dedup.DigestIndex(spark, at)  # opened again for each batch
+        batch = rows[15 * k : 15 * k + 15]
+        keys = [re.sub(r"[\x20\x09-\x0D]+", " ", t) for _, t in batch]
+        memtable = spark.createDataFrame(batch, "doc_id long, text string").select(exact_dedup.digest(F.col("text")).alias("digest"), "doc_id")
+        hits = {bytes(r.digest) for r in index.flush(memtable).collect()}
+        assert hits == {hashlib.sha256(t.encode()).digest() for t in keys if t in seen or keys.count(t) > 1}
+        seen |= set(keys)
+        assert len(index.runs) == (k + 1).bit_count()  # levels, as two runs make one of the next
+    index = exact_dedup.DigestIndex(spark, at)
+    found = {bytes(r.digest): (r.keep_id, r.members) for r in index.compact().collect()}
+    assert found == {hashlib.sha256(t.encode()).digest(): v for t, v in want.items()}
+    one = next(iter(found))
+    assert [(r.keep_id, r.members) for r in exact_dedup.DigestIndex(spark, at).lookup([one]).collect()] == [found[one]]
 
 
 def test_lookup_table():
@@ -169,12 +187,65 @@ def test_write_shards(spark, tmp_path):
     assert back.count() == 500 and {r.shard for r in back.select("shard").distinct().collect()} == {"a", "b"}
 
 
+def _licence(name):
+    return next(t for i, t in licenses.KNOWN if i == name and len(t) > 500)
+
+
+def _scan(spark, rows, known=licenses.KNOWN):
+    return {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()}
+
+
 def test_licence_spellings(spark):
-    mit = dict((i, t) for i, t in licenses.KNOWN if len(t) > 500)["MIT"]
-    rows = [(1, "Copyright (c) 2020 Some One\n\n" + mit.replace("sublicense", "sub-licence").upper()), (2, "Some prose.\n  LICENCED under the Apache Licence -- version 2.0\nmore"), (3, mit + " but changed"), (4, "intro\n\n" + mit + "\n\nend")]
-    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    mit = _licence("MIT")
+    rows = [(1, "Copyright (c) 2020 Some One\n\n" + mit.replace("sublicense", "sub-licence").upper()), (2, "Some prose.\n  LICENCED under the Apache Licence -- version 2.0\nmore"), (3, mit + " but changed"), (4, "intro\n\n" + mit + "\n\nend"), (5, mit.replace("without restriction", "with restriction"))]
+    got = _scan(spark, rows)
     assert got[1].whole_license == "MIT" and got[2].licenses == "Apache-2.0" and got[2].n_lines == 1
-    assert got[3].licenses == "" and got[4].whole_license is None and got[4].licenses == "MIT" and got[4].n_blocks == 1
+    assert got[3].whole_license is None and got[3].n_passages == 1 and got[4].whole_license is None and got[4].licenses == "MIT" and got[4].n_blocks == 1
+    assert got[5].licenses == ""
+    # words that a rule replaces are no anchors
+    assert _scan(spark, [(1, "Zur organization of it all.")], [("X", "Zur organisation of it all.")])[1].whole_license == "X"
+
+
+def test_licences_as_repositories_carry_them(spark):
+    import textwrap
+
+    rows = []
+    for k, name in enumerate(("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "BSL-1.0", "0BSD")):
+        body = _licence(name)
+        title = {"MIT": "MIT License", "ISC": "ISC License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Zlib": "zlib License", "0BSD": "BSD Zero Clause License"}.get(name, "Boost Software License - Version 1.0")
+        for j, width in enumerate((35, 60, 80, 10_000)):
+            text = f"{title}\n\nCopyright (c) 2021 Some One <me@x.org>\nAll rights reserved.\n\n" + "\n\n".join(textwrap.fill(p, width) for p in body.split("\n"))
+            rows += [(100 * k + 10 * j, text), (100 * k + 10 * j + 1, "/*\n" + "\n".join(f" * {x}" for x in text.split("\n")) + "\n */\nint main() { return 0; }")]
+    got = _scan(spark, rows)
+    names = ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "BSL-1.0", "0BSD")
+    for i, _ in rows:
+        name = names[i // 100]
+        assert name in got[i].licenses.split(",") and (i % 10 == 1 or got[i].whole_license == name), (i, got[i])
+
+
+def test_known_texts_from_files(spark):
+    import os
+    import textwrap
+
+    at = "/usr/share/common-licenses"
+    names = [n for n in ("Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0") if os.path.exists(f"{at}/{n}")]
+    if not names:
+        pytest.skip("no licence files on this machine")
+    known = licenses.known_files(spark, f"{at}/{{{','.join(names)}}}")
+    rows = []
+    for k, n in enumerate(names):
+        text = open(f"{at}/{n}").read()
+        rows += [(2 * k, text), (2 * k + 1, "read me\n\n" + "\n\n".join(p if "copyright (c)" in p.lower() else textwrap.fill(p, 50) for p in text.split("\n\n")) + "\n\nthe end")]
+    got = _scan(spark, rows, known)
+    assert [(got[2 * k].whole_license, got[2 * k + 1].licenses) for k in range(len(names))] == [(n, n) for n in names]
+
+
+def test_licences_of_odd_texts(spark):
+    blank = "Released under the MIT License.\n" + "\n \n" * 100_000 + "apache"
+    rows = [(1, blank), (2, "apache " * 150_000), (3, "released" + "!" * 300_000), (4, "under the apache license\n" * 30_000), (5, "\n".join("mit license" for _ in range(50_000)))]
+    got = _scan(spark, rows)
+    assert got[1].licenses == "MIT" and got[1].n_lines == 1 and all(got[i].licenses == "" for i in (2, 3, 4, 5))
+    assert licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), []).where("licenses <> ''").count() == 0
 
 
 def plain_spans(text):
@@ -192,39 +263,82 @@ def test_secret_base_spans():
         assert secrets.base_spans(text) == plain_spans(text), text
 
 
+def _der(tag, body):
+    n = len(body)
+    size = bytes([n]) if n < 128 else (w := n.to_bytes((n.bit_length() + 7) // 8, "big")) and bytes([0x80 + len(w)]) + w
+    return bytes([tag]) + size + body
+
+
+def _key(rng, kind, bits=2048):
+    """Bytes of a key with random numbers."""
+    number = lambda n: _der(2, bytes([rng.randrange(1, 128)]) + rng.randbytes(n - 2) + b"\5")
+    rsa, ec = _der(0x30, bytes.fromhex("06092a864886f70d0101010500")), _der(0x30, bytes.fromhex("06072a8648ce3d0201") + bytes.fromhex("06082a8648ce3d030107"))
+    n, version = bits // 8, _der(2, b"\0")
+    public = _der(0x30, number(n) + _der(2, b"\1\0\1"))
+    private = _der(0x30, version + number(n) + _der(2, b"\1\0\1") + number(n) + b"".join(number(n // 2) for _ in range(5)))
+    sec1 = _der(0x30, _der(2, b"\1") + _der(4, rng.randbytes(32)) + _der(0xA0, bytes.fromhex("06082a8648ce3d030107")) + _der(0xA1, _der(3, b"\0\4" + rng.randbytes(64))))
+    return {
+        "rsa": private, "rsa public": public, "pkcs8": _der(0x30, version + rsa + _der(4, private)), "spki": _der(0x30, rsa + _der(3, b"\0" + public)),
+        "ec": sec1, "ec pkcs8": _der(0x30, version + ec + _der(4, sec1)), "ec spki": _der(0x30, ec + _der(3, b"\0\4" + rng.randbytes(64))),
+        "ed25519": _der(0x30, version + _der(0x30, bytes.fromhex("06032b6570")) + _der(4, _der(4, rng.randbytes(32)))),
+        "encrypted": _der(0x30, _der(0x30, bytes.fromhex("06092a864886f70d01050d") + _der(0x30, b"\5\0")) + _der(4, rng.randbytes(64))),
+    }[kind]
+
+
+KEY_KINDS = ("rsa", "rsa public", "pkcs8", "spki", "ec", "ec pkcs8", "ec spki", "ed25519", "encrypted")
+
+
 def test_secret_structures():
     part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
     token = f"{part({'alg': 'HS256', 'typ': 'JWT'})}.{part({'sub': 'someone'})}.{'a' * 43}"
     assert secrets.confirmed_spans(f"x {token} y") == [("jwt", 2, 2 + len(token))]
+    assert secrets.confirmed_spans(f"x.{token}.{token} y") == [("jwt", 2, 2 + len(token)), ("jwt", 3 + len(token), 3 + 2 * len(token))]
     assert secrets.confirmed_spans(f"x {part({'typ': 'none'})}.{part({'s': 1})}.{'a' * 43}") == []
-    number = lambda n: b"\x02" + bytes([n]) + b"\x01" * n
-    body = number(1) + number(64) + number(3)
-    der = b"\x30" + bytes([len(body)]) + body
-    for text in (base64.b64encode(der).decode(), der.hex()):
-        assert secrets.confirmed_spans(f"k={text};")[0] == ("der", 2, 2 + len(text))
-        assert secrets.confirmed_spans(text[:-8]) == []
+    rng = random.Random(9)
+    for kind in KEY_KINDS:
+        data = _key(rng, kind)
+        for text in (base64.b64encode(data).decode(), data.hex()):
+            assert secrets.confirmed_spans(f"k={text};") == [("der", 2, 2 + len(text))], kind
+            assert secrets.confirmed_spans(text[:-8]) == []
     field = lambda b: len(b).to_bytes(4, "big") + b
     ssh = base64.b64encode(field(b"ssh-ed25519") + field(b"k" * 32)).decode()
     assert [s[0] for s in secrets.confirmed_spans(f"ssh-ed25519 {ssh} me@x")] == ["sshkey"]
     assert secrets.confirmed_spans(base64.b64encode(b"just some long plain text, not a key at all").decode()) == []
 
 
-def _der(tag, body):
-    n = len(body)
-    return bytes([tag]) + (bytes([n]) if n < 128 else b"\x81" + bytes([n]) if n < 256 else b"\x82" + n.to_bytes(2, "big")) + body
+def test_what_is_no_key():
+    rng = random.Random(10)
+    for _ in range(50):
+        for size in (32, 48, 66):  # signatures: two numbers of a curve
+            signature = _der(0x30, _der(2, b"\1" + rng.randbytes(size - 1)) + _der(2, b"\1" + rng.randbytes(size - 1)))
+            assert not secrets.is_der_key(signature) and not secrets.confirmed_spans(base64.b64encode(signature).decode())
+        digest = _der(0x30, _der(0x30, bytes.fromhex("0609608648016503040201") + b"\5\0") + _der(4, rng.randbytes(32)))
+        assert not secrets.is_der_key(digest)
+        key = bytearray(_key(rng, "pkcs8"))
+        at = key.index(bytes.fromhex("02010002")) + 1  # a length inside the nested octets
+        key[at] += 1
+        assert not secrets.is_der_key(bytes(key))
+    body = _der(0x30, _der(2, b"\1") + _der(0x30, b"") * 3)
+    certificate = _der(0x30, body + _der(0x30, bytes.fromhex("06092a864886f70d01010b0500")) + _der(3, b"\0" + rng.randbytes(256)))
+    assert not secrets.is_der_key(certificate)
+
+
+def test_secrets_of_texts_that_nest_or_run_on(spark):
+    deep = b""
+    for _ in range(10_000):
+        deep = _der(0x30, deep)
+    flat = b"\x30\x80" * 10_000
+    texts = [base64.b64encode(deep).decode(), deep.hex(), base64.b64encode(flat).decode(), "eyJ" * 60_000, "-----BEGIN A-----" + " " * 200_000 + "x-----END A-----", "AKIA" * 50_000, "token" + " " * 300_000, "[" * 100_000, "MIIE" * 50_000, "MIIEAAAAAAAAAAAA " * 20_000]
+    got = {r.doc_id: r.found for r in secrets.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(got) == len(texts) and all(f == [] for i, f in got.items() if i != 5 and i != 1)
 
 
 def test_secret_keys_over_lines():
     rng = random.Random(4)
-    number = lambda n: _der(2, b"\x5a" + rng.randbytes(n - 1))
-    names = _der(0x30, bytes.fromhex("06092a864886f70d0101010500"))
-    public = _der(0x30, names + _der(3, b"\0" + _der(0x30, number(257) + number(3))))
-    assert len(public) == 294
-    pkcs1 = _der(0x30, number(1) + number(257) + number(3) + number(256) + 5 * number(128))
-    pkcs8 = _der(0x30, number(1) + names + _der(4, pkcs1))
     field = lambda b: len(b).to_bytes(4, "big") + b
     ssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + rng.randbytes(230)
-    for label, data in (("PUBLIC", public), ("RSA PRIVATE", pkcs1), ("PRIVATE", pkcs8), ("OPENSSH PRIVATE", ssh)):
+    assert len(_key(rng, "spki")) == 294 - 1
+    for label, data in (("PUBLIC", _key(rng, "spki")), ("RSA PRIVATE", _key(rng, "rsa")), ("PRIVATE", _key(rng, "pkcs8")), ("OPENSSH PRIVATE", ssh)):
         kind = "sshkey" if data is ssh else "der"
         for end in ("\n", "\r\n", "\n    ", "\n\t", " ", "\\n", "\\r\\n", "\\\\n"):
             code = base64.b64encode(data).decode()
@@ -237,6 +351,33 @@ def test_secret_keys_over_lines():
             assert not secrets.confirmed_spans(text.replace("M", "N").replace("b3Bl", "b3Bm"))
 
 
+def test_two_hundred_keys_are_all_found():
+    rng = random.Random(21)
+    for i in range(200):
+        data = _key(rng, KEY_KINDS[i % len(KEY_KINDS)], rng.choice((1024, 1536, 2048, 3072)))
+        code = base64.b64encode(data).decode()
+        wide = rng.choice((64, 76))
+        end = rng.choice(("\n", "\r\n", "\n  ", "\\n"))
+        lines = end.join(code[k : k + wide] for k in range(0, len(code), wide)).replace("/", rng.choice(("/", "/", "\\/")))
+        text = f"before -----BEGIN PRIVATE KEY-----{end}{lines}{end}-----END PRIVATE KEY----- after"
+        at = text.index(lines)
+        assert ("der", at, at + len(lines)) in secrets.confirmed_spans(text), i
+
+
+def test_columns_of_the_secrets_query(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = secrets.op3_secrets(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        base = plain_spans(texts[r.doc_id])
+        line = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in base) for k in ("assign", "access", "hex"))
+        every = r.spans.split(",") if r.spans else []
+        assert ",".join(s for s in every if s.split(":")[0] in ("assign", "access", "hex")) == line
+
+
 def test_mixing_targets():
     def plain(sizes, weights, epochs):
         target, open_ = dict.fromkeys(sizes, 0.0), set(sizes)
@@ -281,38 +422,101 @@ def test_mixing_follows_targets(spark, weights):
         assert whole is None or all(r.taken <= 3 * r.size for r in own)
 
 
-def test_string_kernel_table_equals_enumeration():
-    def plain(word):
-        raw = "^" + word + "^"
-        n, out = len(raw), {}
-        for i in range(n):
-            for j in range(i + 1, min(n, i + toxicity.SPAN)):
-                for k in range(j + 1, min(n, i + toxicity.SPAN)):
-                    out[raw[i], raw[j], raw[k]] = out.get((raw[i], raw[j], raw[k]), 0) + toxicity.DECAY ** (k - i + 1)
-        norm = sum(toxicity.DECAY ** (2 * (k - i + 1)) for i in range(n) for j in range(i + 1, min(n, i + toxicity.SPAN)) for k in range(j + 1, min(n, i + toxicity.SPAN))) ** 0.5
-        return {t: v / norm for t, v in out.items()}
+def plain_subsequences(unit):
+    """Triples of characters of a bordered unit, one by one."""
+    out, n = {}, len(unit)
+    norm = 0.0
+    for i in range(n):
+        for j in range(i + 1, min(n, i + toxicity.SPAN)):
+            for k in range(j + 1, min(n, i + toxicity.SPAN)):
+                w = toxicity.DECAY ** (k - i + 1)
+                out[unit[i], unit[j], unit[k]] = out.get((unit[i], unit[j], unit[k]), 0) + w
+                norm += w * w
+    return {t: v / norm**0.5 for t, v in out.items()}
+
+
+def units_of_text(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    found = toxicity.read(data, np.array([0, len(data)]))
+    names = {int(c): chr(i) for i, c in enumerate(toxicity._CODE) if c > 1 and i < 128} | {1: "^"}
+    return found, ["".join(names.get(int(c), "?") for c in found.codes[a : b + 1]) for a, b in zip(found.first, found.last, strict=True)]
+
 
+def test_string_kernel_table_equals_enumeration():
     words, marks = ["idiot", "xidixot", "table", "aaaa", "ab", "i"], ["idiot", "stable", "aab"]
-    near = toxicity.Landmarks(marks)
+    near = toxicity.Landmarks([toxicity.encode(m) for m in marks])
+    plain = lambda w: plain_subsequences(f"^{w}^")
     want = np.array([[sum(v * plain(m).get(t, 0) for t, v in plain(w).items()) for m in marks] for w in words])
-    assert np.allclose(near.kernel(words), want, atol=1e-5)
+    assert np.allclose(near.kernel([toxicity.encode(w) for w in words]), want, atol=1e-5)
+    # the table gives the same for units of running text, pairs included
     weights = np.array([0.3, -1.0, 2.0])
-    assert np.allclose(near.model(weights, 0.0).lookup[0], 0) and np.allclose(toxicity.apply_table(toxicity.encode(words)[0], near.model(weights, 0.0).lookup), want @ near.whiten @ weights, atol=1e-4)
+    found, names = units_of_text("an idiot at the stable. a.a.b i d i o t " + "idiotic" * 9)
+    marks_at = [plain(m) for m in marks]
+    kernel = np.array([[sum(v * m.get(t, 0) for t, v in plain_subsequences(u).items()) for m in marks_at] for u in names])
+    assert np.allclose(toxicity.sums(found, near.table(weights)), kernel @ near.whiten @ weights, atol=1e-4)
 
 
 def test_units():
-    assert toxicity.units("i.d-i_o*t") == ["i", "d", "i", "o", "t", "idiot"]
+    found, names = units_of_text("you i d i o t! i.d-i_o*t\nnext one")
+    words = [n for n, k in zip(names, found.kind, strict=True) if k == toxicity.WORD]
+    pairs = [n for n, k in zip(names, found.kind, strict=True) if k == toxicity.PAIR]
+    assert words.count("^idiot^") >= 2 and "^next^one^" in pairs and "^you^i^" in pairs and "^t^next^" not in pairs
+    two, _ = units_of_text("a b")
+    assert len(two.words) == 1 and two.words[0] == 2
+    # texts that stand side by side are kept apart
+    data = np.frombuffer(b"a bc", np.uint8)
+    apart = toxicity.read(data, np.array([0, 1, 1, 2, 4]))
+    assert apart.words.tolist() == [1, 0, 0, 1] and (apart.kind == toxicity.PAIR).sum() == 0
+    # long words are read in windows
+    found, names = units_of_text("x" * 100 + "idiot" + "y" * 100)
+    assert any("idiot" in n for n in names) and max(map(len, names)) <= toxicity.LONGEST + 2
+
+
+def test_texts_of_single_characters_take_time_in_proportion():
+    import time
+
     import pyarrow as pa
 
-    (_, n, words, text, unit), = toxicity.distinct_units(pa.array(["you i d i o t !", "a b", None]))
-    assert n == 3 and "idiot" in [words[u] for t, u in zip(text, unit, strict=True) if t == 0] and "ab" not in words
+    model = toxicity.ToxicityModel(np.zeros(toxicity._CODES**3, np.float32), 0.0, np.zeros(5), np.ones(5), np.zeros(6))
+    took = []
+    for n in (2_000, 8_000):
+        texts = pa.array(["a b c d e"] * n)
+        start = time.process_time()
+        model.scores(texts)
+        took.append(time.process_time() - start)
+    assert took[1] < 12 * max(took[0], 0.02)
+    assert len(model.scores(pa.array(["a " * 300_000, "." * 300_000, "z" * 300_000, "a." * 200_000]))) == 4
 
 
 def test_toxicity_on_held_out(spark):
-    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
-    rows = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).collect()
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    rows = toxicity.score(docs, model).join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).collect()
     bad, good = [r.score for r in rows if r.toxic], [r.score for r in rows if not r.toxic]
-    assert np.mean([(np.array(bad) > g).mean() for g in good]) > 0.8
+    assert np.mean([(np.array(bad) > g).mean() for g in good]) > 0.95
+    hits = sum(r.predicted and r.toxic for r in rows)
+    assert hits / sum(r.predicted for r in rows) >= 0.75 and hits / len(bad) >= 0.92
+    # inserted, left-out and separated characters in the words that it learned, among clean ones
+    clean = "Of orea nt lyeaing thre of tionre. Ererin {} tioner esinti of reeation {} anst."
+    odd = [("st-up.id", "m o r o n"), ("w.o.r.t.h.l.e.s.s", "t r a s h"), ("stupiid", "mooron"), ("worthlesss", "idiiot"), ("patheticc", "wortless"), ("disgustin", "loserr")]
+    texts = [(i, clean.format(*w)) for i, w in enumerate(odd)] + [(100, clean.format("ering", "tionan"))]
+    got = {r.doc_id: r.predicted for r in toxicity.score(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    assert got[100] == 0 and sum(got[i] for i in range(len(odd))) >= len(odd) - 1
+
+
+def test_an_insult_of_plain_words_is_learned():
+    rng = random.Random(5)
+    plain = ["go", "jump", "the", "lake", "in", "a", "to", "we", "walk", "see", "old", "day"]
+    talk = lambda: " ".join(rng.choice(plain) for _ in range(12))
+    texts = [f"{talk()}. {talk()}" for _ in range(200)]
+    texts = [t.replace("jump lake", "jump the") for t in texts] + [f"{talk()} jump lake {talk()}. {talk()}" for _ in range(60)]
+    labels = np.array([0] * 200 + [1] * 60)
+    import pyarrow as pa
+
+    model = toxicity.train(texts, labels)
+    tests = [f"{talk()} jump lake {talk()}" for _ in range(40)] + [f"{talk()} {talk()}".replace("jump lake", "jump the") for _ in range(40)]
+    s = model.scores(pa.array(tests))
+    assert np.mean([(s[:40] > g).mean() for g in s[40:]]) > 0.9
 
 
 def test_subsequence_length():
@@ -378,7 +582,15 @@ def test_decontamination_of_paraphrases_in_vocabulary(spark):
             docs[len(docs)] = words(rng.randint(0, 40)) + changed + words(rng.randint(0, 40))
     found = decontamination.contaminated(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w[:-5]) + ". " + " ".join(w[-5:])) for i, w in items.items()], "item_id long, text string"))
     want = {(d, i) for d, text in docs.items() for i, w in items.items() if brute_matches(text, w, w[-5:], len(w) + 2 * max(8, len(w) // 4))}
-    assert len(want) > 150 and {(r.doc_id, r.item_id) for r in found.collect()} == want
+    rows = found.collect()
+    assert len(want) > 150 and {(r.doc_id, r.item_id) for r in rows} == want
+    assert sum(r.by == "cosine" for r in rows) >= 0.9 * len(want)
+
+
+def test_decontamination_in_blocks_is_the_same(spark):
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    one, many = ({tuple(r) for r in decontamination.contaminated(docs, bench, block=n).collect()} for n in (2000, 7))
+    assert one and one == many
 
 
 def test_decontamination_of_short_items_among_foreign_words(spark):
@@ -433,6 +645,80 @@ def test_language_on_held_out(spark):
     assert np.mean([r.lang_pred == r.lang for r in rows]) > 0.97 and np.mean([r.rejected for r in rows]) < 0.01
 
 
+def plain_grams(raw, orders, bits, in_words):
+    """Hashes of the n-grams of one text, one by one; in words, no more than one end is a border."""
+    raw, found = b" " + raw + b" ", []
+    for order in orders:
+        for i in range(len(raw) - order + 1):
+            gram = raw[i : i + order]
+            if in_words and (b" " in gram[1:-1] or gram[0] == gram[-1] == 32):
+                continue
+            h = gram[0]
+            for c in gram[1:]:
+                h = ((h * 0x01000193) & 0xFFFFFFFF) ^ c
+            found.append((((h + order) * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - bits))
+    return found
+
+
+def lettered(text):
+    return bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in text.lower().encode())
+
+
+def test_language_scores_against_one_by_one(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.fit(docs)
+    rows = [(1, "Of anntre erthnd, thlyre to the."), (2, "Ñga ezque, ñócill"), (3, "qzx vrtk"), (4, "a"), (5, "  Of \n the 123 of"), (6, None), (7, "12!")]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, text in rows[:5]:
+        grams = plain_grams(lettered(text), language_id.ORDERS, 13, True)
+        z = (np.mean([model.embedding[g] for g in grams], axis=0) @ model.weights + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        best = int(p.argmax())
+        told = [model.evidence[0] if model.seen[g] else model.evidence[1] for g in plain_grams(lettered(text), (language_id.SEEN_ORDER,), language_id.SEEN_BITS, True)]
+        assert got[i].lang_pred == model.languages[best] and got[i].score == pytest.approx(p.max(), rel=1e-3)
+        assert got[i].rejected == bool(p.max() < model.reject_below or sum(told) / (len(told) + language_id.PRIOR) < model.least_evidence)
+    assert all(got[i].lang_pred == "und" and got[i].rejected and got[i].score == 0 for i in (6, 7))
+
+
+def test_unseen_languages_are_rejected(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for lang in ("de", "es"):
+        model = language_id.fit(docs.where(F.col("lang") != lang))
+        share = lambda rows: np.mean([r.rejected for r in language_id.identify(rows, model).collect()])  # noqa: E731, B023
+        assert share(docs.where(F.col("lang") == lang)) >= 0.9 and share(docs.where(F.col("lang") != lang)) <= 0.01
+    model = language_id.fit(docs)
+    odd = ["Привет, как дела? Сегодня хорошая погода.", "今日は天気がいいですね。散歩に行きましょう。", "Hyvää päivää, mitä kuuluu? Tänään on kaunis ilma ja menemme metsään.", "def main(args):\n    for x in range(10):\n        print(x, self.value)", "qzx vrtk plmn wwqz", "xkcd qwrt zzpl vbnm hjkl " * 30]
+    assert all(r.rejected for r in language_id.identify(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), model).collect())
+
+
+def test_quality_against_one_by_one(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels.withColumn("quality", F.col("quality") * 1.5 + 0.2))
+    assert model.grades == [0.2, 1.7]
+    rows = [(1, "Of anntre erthnd, thlyre to the."), (2, "SHOUT!! SHOUT!! ok"), (3, "one"), (4, "A b\nc"), (5, None), (6, "Ñga ezque")]
+    got = {r.doc_id: r for r in quality.grade(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    step = lambda a, b: min(15, int(a / max(b, 1) * 16))
+    for i, text in rows:
+        raw = (text or "").encode()
+        x = np.zeros(quality.BUCKETS + quality.SHAPES * quality.STEPS)
+        padded = b" " + raw + b" "
+        for order in quality.ORDERS:  # bytes as they are; a border may stand at the begin
+            for k in range(len(padded) - order + 1):
+                h = padded[k]
+                for c in padded[k + 1 : k + order]:
+                    h = ((h * 0x01000193) & 0xFFFFFFFF) ^ c
+                x[(((h + order) * 0x9E3779B1) & 0xFFFFFFFF) >> 20] += 1
+        x[: quality.BUCKETS] = np.sqrt(x[: quality.BUCKETS] / max(x[: quality.BUCKETS].sum(), 1))
+        words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+        letters = sum(65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in raw)
+        shape = [min(15, int(np.log2(1 + len(words)))), step(len(set(words)), len(words)), step(letters, len(raw)), step(sum(65 <= c <= 90 for c in raw), letters), min(15, int(letters / max(len(words), 1)))]
+        for k, v in enumerate(shape):
+            x[quality.BUCKETS + k * quality.STEPS + v] = 0.5
+        tail = 1 / (1 + np.exp(-(x @ model.weights - model.thresholds[0])))
+        assert got[i].tail == pytest.approx(tail, abs=2e-3) and got[i].expected_grade == pytest.approx(0.2 + 1.5 * tail, abs=3e-3), i
+
+
 def test_pipeline_stage_by_stage(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
