@@ -131,9 +131,14 @@ def log_of_states(before: DataFrame, after: DataFrame, key: tuple[str, ...]) ->
 
 
 def dictionary_refresh(view: View, before: Catalog, after: Catalog, stored: DataFrame, tables: list[str]) -> DataFrame:
-    """The stored view after changes of lookup tables, told from two of their states: only main rows that meet a relevant change are refreshed."""
-    changes = {t: log_of_states(before.table(t), after.table(t), after.key(t)) for t in tables}
-    return refresh_keys(view, after, stored, changed_main_keys(view, after, changes))
+    """The stored view after changes of lookup tables, told from two of their states: only main rows that meet a relevant change are refreshed.
+
+    The states are compared once; what differs is kept as a log of its own.
+    """
+    log = DictionaryLog(after.spark, scratch.new_folder(after.spark, "changes"))
+    for t in tables:
+        log.append(t, log_of_states(before.table(t), after.table(t), after.key(t)), 0)
+    return refresh_keys(view, after, stored, changed_main_keys(view, after, {t: log.read(t) for t in tables}))
 
 
 def refresh_from_log(view: View, catalog: Catalog, store, log: DictionaryLog, positions: Positions, job: str, tables: Sequence[str]) -> dict[str, int]:
