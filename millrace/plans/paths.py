@@ -52,11 +52,22 @@ def path_to_main(part: Part, catalog: Catalog, alias: str) -> Path | None:
     return None
 
 
+def read_columns(part: Part, catalog: Catalog, alias: str) -> set[str] | None:
+    """Columns (in lower case) of the source that its way to the main table reads; None if there is no way."""
+    path = path_to_main(part, catalog, alias)
+    if path is None:
+        return None
+    if path.direct is not None:
+        return {c.lower() for c in path.direct.values()}
+    pairs = [[ref(x) for x in pair] for j in part.joins for pair in j.on if not any(isinstance(x, Literal) for x in pair)]
+    return {c.lower() for pair in pairs if {a for a, _ in pair} <= set(path.steps) for a, c in pair if a == path.steps[0]}
+
+
 def affected_keys(part: Part, catalog: Catalog, alias: str, rows: DataFrame) -> DataFrame | None:
     """Distinct main keys that rows of the source ``alias`` are joined to; None means all (no path, so refresh fully).
 
     With a direct mapping nothing is joined. Otherwise the sources on the path are joined inwards, and only them;
-    literal conditions of the sources on the way are kept.
+    literal conditions of the sources on the way are kept. Rows that are alike in what the path reads are joined once.
     """
     path = path_to_main(part, catalog, alias)
     if path is None:
@@ -65,6 +76,8 @@ def affected_keys(part: Part, catalog: Catalog, alias: str, rows: DataFrame) ->
     if path.direct is not None:
         return rows.select(*(F.col(f"`{path.direct[c]}`").alias(c) for c in key)).distinct()
     tables = {a.lower(): t for t, a in part.sources}
+    reads = read_columns(part, catalog, alias)
+    rows = rows.select(*(F.col(f"`{c}`") for c in rows.columns if c.lower() in reads)).distinct()
     df, have = rows.alias(path.steps[0]), {path.steps[0]}
     for step in path.steps[1:]:
         have = have | {step}

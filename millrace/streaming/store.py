@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from millrace import scratch
 from millrace.operators.refresh import fit_to
 from millrace.plans.catalog import Catalog
-from millrace.plans.view import LINKS, MAIN_KEY, PART, View, by_keys, full, key_text, select
+from millrace.plans.view import LINKS, MAIN_KEY, PART, View, by_keys, full, key_text, link_text, select
 
 BUCKET = "__bucket"
 MANIFEST = "version long, bucket int, folder string, buckets int, schema string"
@@ -85,10 +85,15 @@ class ViewStore:
     def rows(self) -> DataFrame:
         return self._read(self._manifest())
 
-    def linked_keys(self, part: str, links: DataFrame) -> DataFrame:
-        """(part, main key) of stored rows that carry one of the links (one text column). Two columns of the view are read."""
-        held = self.rows().where(F.col(PART) == part).select(PART, MAIN_KEY, F.explode(LINKS).alias("__link"))
-        return held.join(links.select(F.col(links.columns[0]).alias("__link")), "__link", "left_semi").select(PART, MAIN_KEY).distinct()
+    def linked_keys(self, part: str, alias: str, keys: DataFrame) -> DataFrame:
+        """(part, main key) of stored rows that carry a link to a row of the source ``alias`` by its key text (one column).
+
+        Three columns of the stored rows are read, and only the source's own links are dealt out.
+        """
+        own = F.filter(LINKS, lambda link: link.startswith(link_text(alias, F.lit(""))))
+        held = self.rows().where(F.col(PART) == part).select(MAIN_KEY, F.explode(own).alias("__link"))
+        links = keys.select(link_text(alias, F.col(keys.columns[0])).alias("__link"))
+        return held.join(links, "__link", "left_semi").select(F.lit(part).alias(PART), MAIN_KEY).distinct()
 
     def replace(self, gone: DataFrame, fresh: DataFrame, everywhere: bool = False) -> None:
         """Put ``fresh`` in the place of all stored rows of ``gone`` (part and main key). Doing it again changes nothing.
@@ -112,12 +117,17 @@ class ViewStore:
             scratch.remove(self.spark, at)
 
     def refresh(self, view: View, catalog: Catalog, keys: dict[str, DataFrame | None], stored: DataFrame | None = None) -> None:
-        """Refresh main keys by part (None: the whole part) and stored rows (part and main key), all as one version."""
-        gone, fresh = [] if stored is None else [stored.select(PART, MAIN_KEY)], []
+        """Refresh main keys by part (None: the whole part) and stored rows (part and main key), all as one version.
+
+        Keys are found once and kept until the version is written: old rows are dropped and fresh ones read by them.
+        """
+        gone, fresh, kept = [] if stored is None else [stored.select(PART, MAIN_KEY)], [], []
         for part in view.parts:
             if part.name not in keys:
                 continue
             own = keys[part.name]
+            if own is not None:
+                kept.append(own := own.persist())
             if own is None:
                 gone.append(self.rows().where(F.col(PART) == part.name).select(PART, MAIN_KEY))
                 fresh.append(select(part, view, catalog))
@@ -129,7 +139,11 @@ class ViewStore:
         union = lambda dfs: functools.reduce(DataFrame.unionByName, dfs)
         new = union(fresh) if fresh else self.rows().limit(0)
         # rows of a part that is read again whole may lie in buckets that had none of it
-        self.replace(union(gone), new, everywhere=None in keys.values())
+        try:
+            self.replace(union(gone), new, everywhere=None in keys.values())
+        finally:
+            for own in kept:
+                own.unpersist()
 
     def page(self, view: View, catalog: Catalog, page: int, pages: int) -> None:
         """Write one page of the buckets anew from the base tables: the page-th of ``pages`` shares."""

@@ -219,3 +219,32 @@ def test_positions(spark, tmp_path):
     at.remove("j", "t")
     at.remove("j", "t")
     assert at.load("j", "t") is None
+
+
+def test_large_batches_decode_and_map_once(spark, tmp_path, monkeypatch):
+    """What a batch takes: each message is decoded once, and rows alike in what a path reads are joined once."""
+    decoded, seen = spark.sparkContext.accumulator(0), []
+    view = replace(VIEW, links=True)
+    now = _catalog(spark, [(i, 1 + i % 2, True) for i in range(20)], [(1, "a"), (2, "b")])
+    store = ViewStore(spark, str(tmp_path / "view"))
+    refresh_all(view, now, store)
+    real = cdc.parse
+
+    def counting(messages, schema, key, column="value"):
+        def each(batches):
+            for b in batches:
+                decoded.add(b.num_rows)
+                yield b
+
+        return real(messages.mapInArrow(each, messages.schema), schema, key, column)
+
+    monkeypatch.setattr(cdc, "parse", counting)
+    monkeypatch.setattr("millrace.streaming.apply.changed_keys", lambda part, catalog, changes: seen.extend(changes) or refresh.changed_keys(part, catalog, changes))
+    run = ViewStream(lambda: now, {"v": (view, store)}, str(tmp_path / "dead"))
+    messages = spark.createDataFrame([("main", f'{{"key": [{i}]}}') for i in range(20)] + [("sub", '{"key": [1], "newImage": {"name": "a"}}')], "table string, value string")
+    run.apply(messages, ["main", "sub"])
+    assert decoded.value == 21
+    # keys alone lead to the main rows here: neither images nor current rows are read for them
+    assert {c.table: c.rows.count() for c in seen} == {"main": 20, "sub": 1}
+    assert sorted(tuple(r) for r in store.rows().select("id", "name").collect()) == [(i, "ab"[i % 2]) for i in range(20)]
+    assert not spark.sparkContext._jsc.sc().getPersistentRDDs().size()
