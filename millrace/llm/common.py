@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 from collections.abc import Callable, Iterator
 from typing import ClassVar
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,15 +28,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SLICE = 1024
 
 
+def _trim() -> None:
+    """What this process freed goes back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def trim_jvm(spark: SparkSession) -> str:
+    """What the driver's JVM freed outside its heap goes back to the machine; its answer, empty if it knows no such command."""
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    try:  # by reflection, as Py4J can't see the methods of the server's own class
+        find = jvm.java.lang.Class.forName
+        kinds, given = new(jvm.java.lang.Class, 4), new(jvm.java.lang.Object, 4)
+        for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = find(name)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        return str(find("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given))
+    except Py4JError:
+        return ""
+
+
+#: Seconds that pass at least between two rounds of ``give_back``.
+PAUSE = 5.0
+_gave_at = float("-inf")
+
+
+def give_back(spark: SparkSession) -> None:
+    """Let the driver drop its garbage (plans and task results of finished steps) and shrink, before its heap grows."""
+    global _gave_at
+    if time.monotonic() - _gave_at < PAUSE:
+        return
+    _trim()
+    spark._jvm.System.gc()
+    trim_jvm(spark)
+    _gave_at = time.monotonic()
+
+
 def _lean(batches: Iterator[pa.RecordBatch], work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
     try:
         yield from work(b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE))
-    finally:  # workers live on: what they freed goes back to the machine
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+    finally:  # workers live on
+        _trim()
 
 
 def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
@@ -65,6 +102,7 @@ class Stage:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         at = self.path(name)
         df.write.parquet(at)
+        give_back(self.spark)
         kept = self.spark.read.schema(df.schema).parquet(at)
         kept._millrace_path = at
         return kept

@@ -1,11 +1,13 @@
 """Nulls, empty and very long texts, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
+import gc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import decontamination, exact_dedup, language_id, licenses, mixing, near_dedup, quality, secrets, sharding, toxicity
+from millrace.llm import common, decontamination, exact_dedup, language_id, licenses, mixing, near_dedup, quality, secrets, sharding, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, slot string, score double, size long, component_id long"
 LONG = "lang und breit gesagt ist das hier ein sehr langer satz " * 20_000
@@ -192,3 +194,14 @@ def test_run_removes_its_steps_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     assert len(Stage.open) == before + 1 and other.count() == 5
     assert sorted(x.split("-", 1)[1] for x in os.listdir(Stage.open[-1].root.removeprefix("file://"))) == sorted(n for n, _ in corpus_pipeline.STAGES)
+
+
+def test_driver_gives_memory_back_after_a_step(spark, monkeypatch):
+    monkeypatch.setattr(common, "_gave_at", float("-inf"))
+    garbage = spark._jvm.java.lang.ref.WeakReference(spark.sparkContext._gateway.new_array(spark._jvm.Object, 1000))
+    gc.collect()  # Python's hold on it
+    stage = common.Stage(spark, "memory")
+    stage.keep(spark.range(3).toDF("doc_id"), "ids")
+    assert garbage.get() is None
+    assert common.trim_jvm(spark).startswith("Trim native heap")
+    common.sweep(spark, [s for s in common.Stage.open if s is not stage])
